@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import tokenizer
+from . import leakage, tokenizer
 
 REGISTRY = Registry()
 
@@ -28,3 +29,15 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     encoded = tokenizer.encode_documents(docs, vocabulary())
     decoded = tokenizer.decode_documents(encoded, vocabulary()).withColumnRenamed("text", "decoded")
     return docs.select("doc_id", "text").join(decoded, "doc_id").selectExpr("doc_id", "decoded = coalesce(text, '') as same")
+
+
+@REGISTRY.add("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@REGISTRY.add("p7_items")
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items").select("item_id", "suite")
+    counts = p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return items.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
