@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import leakage, tokenizer
+from . import credentials, leakage, tokenizer
 
 REGISTRY = Registry()
 
@@ -41,3 +41,13 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").select("item_id", "suite")
     counts = p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
     return items.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+@REGISTRY.add("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, d, "code_files"))
+
+
+@REGISTRY.add("p1_redacted")
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_files(table(spark, d, "code_files"))
