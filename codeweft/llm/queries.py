@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import credentials, leakage, tokenizer
+from . import credentials, leakage, origin, tokenizer
 
 REGISTRY = Registry()
 
@@ -51,3 +51,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add("p1_redacted")
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted_files(table(spark, d, "code_files"))
+
+
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_kinds(spark, d).select("file_id")
+
+
+@REGISTRY.add("p3_kinds")
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return origin.file_origins(table(spark, d, "scanned_files"), table(spark, d, "code_files"))
