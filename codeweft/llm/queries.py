@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import credentials, leakage, origin, tokenizer
+from . import credentials, leakage, origin, packing, tokenizer
 
 REGISTRY = Registry()
 
@@ -61,3 +61,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add("p3_kinds")
 def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
     return origin.file_origins(table(spark, d, "scanned_files"), table(spark, d, "code_files"))
+
+
+@REGISTRY.add("p5_chunks")
+def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_files(table(spark, d, "scanned_files"))
+
+
+@REGISTRY.add(
+    "p5_coverage",
+    """with latest as (select file_id, greatest(coalesce(max_by(size_bytes, row(scanned_at, greatest(coalesce(size_bytes, 1), 1))), 1), 1) as size
+    from scanned_files where file_id is not null group by 1)
+    select file_id, cast(size as bigint) as n_bytes, cast(greatest(ceil(size / 4194304.0), 1) as bigint) as n_parts from latest""",
+)
+def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return p5_chunks(spark, d).groupBy("file_id").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_parts"))
+
+
+@REGISTRY.add("p5_fill")
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p5_chunks(spark, d))
