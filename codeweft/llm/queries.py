@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import credentials, leakage, origin, packing, tokenizer
+from . import credentials, leakage, origin, packing, pii, tokenizer
 
 REGISTRY = Registry()
 
@@ -81,3 +81,13 @@ def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add("p5_fill")
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p5_chunks(spark, d))
+
+
+@REGISTRY.add("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_information(table(spark, d, "documents"))
+
+
+@REGISTRY.add("p8_redacted")
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_documents(table(spark, d, "documents"))
