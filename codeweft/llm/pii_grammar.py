@@ -21,8 +21,10 @@ _INITIAL = rf"[{_U}]\."
 _FAMILY = rf"{_PARTICLE}{_NAME_WORD}"
 
 NAME = re.compile(
-    rf"(?<![\w@./-])(?!(?:The|Die|Das|Der|Den|Ein|Eine|Les?|La|Los|Las|Im|Do|Did|If|As|In|On|At|No|Any|Thanks|Reported|Author) )(?:{_FAMILY}, {_NAME_WORD}(?: {_INITIAL})?(?![\w@])|{_FAMILY}, {_INITIAL}|{_NAME_WORD}(?:-{_NAME_WORD})?(?: {_INITIAL}){{0,2}} {_FAMILY}(?![\w@/])|(?:{_INITIAL} ?){{1,2}}{_FAMILY}(?![\w@/]))"
+    rf"(?<![\w@./-])(?!(?:The|Die|Das|Der|Den|Ein|Eine|Les?|La|Los|Las|Im|Do|Did|If|As|In|On|At|No|Any|Thanks|Reported|Author|Gemeldet|Merci|Danke|Gracias|According|Copyright) )(?:{_FAMILY}, {_NAME_WORD}(?: {_INITIAL})?(?![\w@])|{_FAMILY}, {_INITIAL}|{_NAME_WORD}(?:-{_NAME_WORD})?(?: {_INITIAL}){{0,2}} {_FAMILY}(?![\w@/])|(?:{_INITIAL} ?){{1,2}}{_FAMILY}(?![\w@/]))"
 )
+#: German says by whom with a word that is also part of names.
+_BY = re.compile(r"(?i)(?:gemeldet|geschrieben|gefunden|berichtet|verfasst|erstellt|genehmigt|freigegeben) $")
 _TITLE = re.compile(r"^(?:(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Herr|Frau|Mme|Mlle|M|Ing|Dipl|Sir|Señor|Señora|Hr|Fr)\.? )+(?=\S)")
 
 _AT = r"(?: ?@ ?| ?\[ ?at ?\] ?| ?\( ?at ?\) ?| ?\{ ?at ?\} ?| at |&#64;|&#x40;|%40| ?<at> ?)"
@@ -75,6 +77,9 @@ def _phone_ok(text: str, m: re.Match) -> bool:
     groups = re.findall(r"\d{3}", re.sub(r"^\+\d+ ", "", s))
     if s.startswith("+") and len(groups) >= 3 and len(set(groups)) == 1:
         return False
+    # a number of three parts whose first two are the same counts something
+    if (parts := re.fullmatch(r"(\d{3})[-.](\d{3})[-.]\d{4}", s)) and parts[1] == parts[2]:
+        return False
     return not ID_LABEL.search(text[max(0, m.start() - 30) : m.start()])
 
 
@@ -103,8 +108,9 @@ def candidates(kind: str, text: str, start: int, end: int) -> list[tuple[int, in
     else:
         for m in NAME.finditer(text, low, high):
             s = m.start()
-            if t := _TITLE.match(m[0]):
-                s += t.end()
+            skip = t.end() if (t := _TITLE.match(m[0])) else 4 if m[0].lower().startswith("von ") and _BY.search(text, max(0, s - 16), s) else 0
+            if skip:
+                s += skip
                 if (again := NAME.match(text, s)) is None:
                     continue
                 out.append((s, again.end()))

@@ -1,4 +1,4 @@
-"""python -m codeweft.llm.pii_train SF_DIR [SECONDS]: trains the model of pii.py in numpy and writes its weights beside it.
+"""python -m codeweft.llm.pii_train SF_DIR [SECONDS [PROCESSES [continue]]]: trains the model of pii.py in numpy and writes its weights beside it.
 
 The labelled spans are made from a bounded sample of documents (DOCUMENTS rows at most): the exact forms of pii_grammar.py,
 and for names the forms with a given name that signs a commit or review in the sample. Part of the names and digits are then
@@ -212,12 +212,12 @@ def _part(task: tuple[dict, np.ndarray]) -> tuple[float, dict, int]:
     return (*loss_and_gradient(w, _DATA[0][rows], _DATA[1][rows]), len(rows))
 
 
-def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96, processes: int = 4, seed: int = 7) -> dict[str, np.ndarray]:
+def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96, processes: int = 4, seed: int = 7, start: dict | None = None) -> dict[str, np.ndarray]:
     """Adam over shuffled windows until the time is up; the rate falls to a twentieth. Each process takes a batch a step."""
     global _DATA
     _DATA = (x, y)
     r = np.random.default_rng(seed)
-    w = start_weights(r)
+    w = start or start_weights(r)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     began, step, said = time.time(), 0, []
     with multiprocessing.get_context("fork").Pool(processes) as pool:
@@ -257,13 +257,19 @@ def accuracy(finder: Finder, texts: list[str], given: set[str]) -> dict[str, tup
 
 
 def sample(sf_dir: str) -> list[tuple[int, str]]:
-    return duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet' where trim(text) != '' order by hash(doc_id) limit {DOCUMENTS}").fetchall()
+    path = Path(sf_dir, "documents.parquet")
+    return duckdb.sql(f"select doc_id, text from '{path}{'/*.parquet' if path.is_dir() else ''}' where trim(text) != '' order by hash(doc_id) limit {DOCUMENTS}").fetchall()
 
 
 def given_names(texts: list[str]) -> set[str]:
     return {m.upper() for t in texts for m in _SIGNED.findall(t)}
 
 
+def _kept() -> dict[str, np.ndarray]:
+    with np.load(WEIGHTS) as f:
+        return {k: v.astype(np.float32) for k, v in f.items()}
+
+
 def main(sf_dir: str, seconds: float) -> None:
     docs = sample(sf_dir)
     given = given_names([t for _, t in docs])
@@ -272,8 +278,11 @@ def main(sf_dir: str, seconds: float) -> None:
     # windows without a span are many and easy: keep all with one, and as many again
     has = (y > 0).any(axis=1)
     keep = has | (np.random.default_rng(1).random(len(x)) < min(1.0, 1.2 * has.mean() / max(1e-9, 1 - has.mean())))
+    # identity numbers are the fewest: their windows count three times
+    number = keep & np.isin(y, (5, 6)).any(axis=1)
     print(f"{len(x)} windows, {has.sum()} with a span, {keep.sum()} used, {len(given)} given names", flush=True)
-    w = train(x[keep], y[keep], seconds, processes=int(sys.argv[3]) if len(sys.argv) > 3 else 4)
+    rows = np.concatenate([np.flatnonzero(keep), np.repeat(np.flatnonzero(number), 2)])
+    w = train(x[rows], y[rows], seconds, processes=int(sys.argv[3]) if len(sys.argv) > 3 else 4, start=_kept() if "continue" in sys.argv else None)
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in w.items()})
     print(accuracy(Finder(Model(w)), held, given), Path(WEIGHTS).stat().st_size)
 
