@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,24 +99,60 @@ def folder_modules(paths: DataFrame) -> DataFrame:
     return rows.groupBy("repo", "language", "folder").agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
 
 
-def resolve_imports(specifiers: DataFrame, paths: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class ProjectConfig:
+    """What a repo's own configuration says of imports; see sources/project.py for the readers."""
+
+    base: str | None = None
+    aliases: tuple[tuple[str, str], ...] = ()
+    go_module: str | None = None
+    psr4: tuple[tuple[str, str], ...] = ()
+    csharp: tuple[tuple[str, str], ...] = ()
+
+
+def _configured(spec: Column, language: Column, config: ProjectConfig) -> Column:
+    """Bases that the configuration gives for a specifier, in the order they are tried."""
+
+    def rest(n: int) -> Column:
+        return F.substring(spec, F.lit(n + 1), F.length(spec))
+
+    def under(folder: str, tail: Column) -> Column:
+        return normal_path(F.concat(F.lit(folder + "/"), tail))
+
+    script = [F.when(spec.startswith(a), under(f"{config.base or '.'}/{t}", rest(len(a)))) for a, t in config.aliases]
+    script += [under(config.base, spec)] if config.base is not None else []
+    go = [F.when(spec.startswith(config.go_module), normal_path(rest(len(config.go_module))))] if config.go_module else []
+    php = [F.when(spec.startswith(p), under(d, F.replace(rest(len(p)), F.lit("\\"), F.lit("/")))) for p, d in config.psr4]
+    cs = [F.when((spec == n) | spec.startswith(n + "."), under(d, F.replace(rest(len(n) + 1), F.lit("."), F.lit("/")))) for d, n in sorted(config.csharp, key=lambda p: (-len(p[1]), p))]
+    out = F.array().cast("array<string>")
+    for names, bases in ((("typescript", "javascript"), script), (("go",), go), (("php",), php), (("csharp",), cs)):
+        if bases:
+            out = F.when(language.isin(*names), F.filter(F.array(*bases), lambda x: x.isNotNull() & (x != ""))).otherwise(out)
+    return out
+
+
+def resolve_imports(specifiers: DataFrame, paths: DataFrame, config: ProjectConfig | None = None) -> DataFrame:
     """(repo, source_file, target_file), each pair once. specifiers: repo, path, language, specifier; paths: repo, path.
 
-    Relative specifiers are resolved against the file's folder; others by path suffix within the repo (dots are separators
-    where there is no slash, backslashes in PHP). All candidates are joined by equality and the first by rank wins.
+    Relative specifiers are resolved against the file's folder. Others are tried as the configuration says (aliases, base
+    folder, module, namespaces), then by path suffix within the repo (dots are separators where there is no slash,
+    backslashes in PHP). All candidates are joined by equality and the first by rank wins.
     """
     spec = F.col("specifier")
     relative = spec.startswith(".") & F.col("language").isin("typescript", "javascript")
     joined_path = normal_path(F.concat_ws("/", dir_name(F.col("path")), spec))
     as_path = F.when(F.col("language") == "php", F.replace(spec, F.lit("\\"), F.lit("/"))).otherwise(spec)
     loose = normal_path(F.when(as_path.contains("/"), as_path).otherwise(F.replace(as_path, F.lit("."), F.lit("/"))))
-    asked = specifiers.select("repo", "path", "language", spec.alias("specifier"), relative.alias("relative"), F.when(relative, joined_path).otherwise(loose).alias("base")).where("base != ''").distinct()
+    exact = F.when(relative, F.array(joined_path)).otherwise(_configured(spec, F.col("language"), config or ProjectConfig()))
+    every_base = F.concat(F.transform(exact, lambda b, i: F.struct(i.alias("turn"), F.lit(True).alias("exact"), b.alias("base"))), F.when(relative, F.array().cast("array<struct<turn:int,exact:boolean,base:string>>")).otherwise(F.array(F.struct(F.lit(1000).alias("turn"), F.lit(False).alias("exact"), loose.alias("base")))))
+    asked = specifiers.select("repo", "path", "language", spec.alias("specifier")).distinct().select("repo", F.col("path").alias("source_file"), "language", "specifier", F.inline(every_base)).where("base != ''")
     asked = cut(asked)  # three branches follow; specifiers are few next to the content they come from
-    tried = asked.select("repo", F.col("path").alias("source_file"), "language", "specifier", "relative", "base", F.inline(_candidates(F.col("base"), F.col("language"))))
+    keys = ["repo", "source_file", "specifier", "turn"]
+    tried = asked.select(*keys, "exact", F.inline(_candidates(F.col("base"), F.col("language"))))
     whole = paths.select("repo", F.col("path").alias("candidate"), F.col("path").alias("target_file"))
-    hits = tried.where("relative").join(whole, ["repo", "candidate"]).unionByName(tried.where("not relative").join(suffix_index(paths).select("repo", F.col("suffix").alias("candidate"), F.col("path").alias("target_file")), ["repo", "candidate"]))
-    folders = asked.where("not relative").join(folder_modules(paths).select("repo", "language", F.col("folder").alias("base"), F.col("path").alias("target_file")), ["repo", "language", "base"])
-    folders = folders.select("repo", F.col("path").alias("source_file"), "specifier", F.lit(50).alias("rank"), "target_file")
-    every = hits.select("repo", "source_file", "specifier", "rank", "target_file").unionByName(folders)
-    best = every.groupBy("repo", "source_file", "specifier").agg(F.min_by("target_file", F.struct("rank", "target_file")).alias("target_file"))
+    suffixes = suffix_index(paths).select("repo", F.col("suffix").alias("candidate"), F.col("path").alias("target_file"))
+    hits = tried.where("exact").join(whole, ["repo", "candidate"]).unionByName(tried.where("not exact").join(suffixes, ["repo", "candidate"]))
+    folders = asked.join(folder_modules(paths).select("repo", "language", F.col("folder").alias("base"), F.col("path").alias("target_file")), ["repo", "language", "base"])
+    every = hits.select(*keys, "rank", "target_file").unionByName(folders.select(*keys, F.lit(50).alias("rank"), "target_file"))
+    best = every.groupBy("repo", "source_file", "specifier").agg(F.min_by("target_file", F.struct("turn", "rank", "target_file")).alias("target_file"))
     return best.select("repo", "source_file", "target_file").distinct()
