@@ -48,7 +48,7 @@ def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     """(root, id, depth): shortest distances from each root along src -> dst. starts: root, id. Within max_depth steps."""
     seen = cut(starts.select("root", "id", F.lit(0).alias("depth")).distinct())
     front, depth = seen, 0
-    hops = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    hops = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     while max_depth is None or depth < max_depth:
         depth += 1
         step = front.join(hops, front["id"] == hops["src"]).select("root", F.col("dst").alias("id")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import dir_name, top_dir
+from ..session import cut
 from .components import connected_components, levels
 
 #: Relations that are followed from symbol to symbol.
@@ -140,7 +141,7 @@ def file_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, file_path): members of the communities, numbered by smallest path. Without any link: by first path segment."""
-    links = file_links(edges, nodes)
+    links = cut(file_links(edges, nodes))
     active = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     found = connected_components(links, active).select(F.col("component"), F.col("id").alias("file_path"))
     if found.isEmpty():

@@ -162,11 +162,13 @@ def build_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
 def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the best documents for any of the query's terms; score descending, then key. limit is held to 1..100."""
     limit = max(1, min(100, limit))
-    posts, corpus = build_index(docs, key, text)
-    size = corpus.first()
-    n, avg = size["n_docs"], size["avg_terms"] or 1.0
     asked = F.array_distinct(search_tokens(F.lit(query)))
-    hits = posts.where(F.array_contains(asked, F.col("term")))
+    terms = docs.where(F.col(text).isNotNull()).select(F.col(key), search_tokens(F.col(text)).alias("terms"))
+    # one pass over the text; what is kept of a document is its length and the query's terms in it
+    kept = cut(terms.select(key, F.size("terms").alias("n_terms"), F.filter("terms", lambda t: F.array_contains(asked, t)).alias("terms")))
+    size = kept.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms")).first()
+    n, avg = size["n_docs"], size["avg_terms"] or 1.0
+    hits = kept.select(key, "n_terms", F.explode("terms").alias("term")).groupBy("term", key, "n_terms").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / avg))

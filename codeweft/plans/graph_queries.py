@@ -441,7 +441,7 @@ def grf_process_members(spark, d):
 
 @q("grf_processes")
 def grf_processes(spark, d):
-    return G.processes(_edges(spark, d))
+    return G.processes(cut(_edges(spark, d)))
 
 
 @q("grf_communities")
