@@ -1,10 +1,10 @@
 """Personal information inside free text.
 
 A character-level bidirectional LSTM with CRF transitions marks it: each character gets scores for the beginning and the inside
-of every kind, and the best sequence of a window is found by Viterbi decoding. The windows lie around the places that a gate
-of wide patterns finds; longer stretches are covered by overlapping windows, whose decodings are reconciled over the whole
-text: of two windows the one decides a character in which it lies further from the edge. What the model marks is then held
-against the exact form of its kind, which gives the bounds; a stretch without that form is dropped.
+of every kind, and the best sequence of a window is found by Viterbi decoding. Overlapping windows cover the whole of every
+text; their decodings are reconciled over it: of two windows the one decides a character in which it lies further from the
+edge. What the model marks is then held against the exact form of its kind, which gives the bounds; a stretch without that
+form is dropped.
 
 The model is trained in numpy from labelled spans (pii_train.py); its weights are a small file beside this module, read once
 and sent to the tasks. Windows that repeat are decoded once a task.
@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pii_grammar import GATE, KINDS, snap
+from .pii_grammar import KINDS, snap
 
 WEIGHTS = str(Path(__file__).with_name("pii_model.npz"))
-#: Characters of a window and between the starts of two that overlap; text kept before and after a gate's place.
-WINDOW, STRIDE, BEFORE, AFTER = 96, 56, 28, 36
+#: Characters of a window and between the starts of two that overlap.
+WINDOW, STRIDE = 256, 216
 BATCH = 512
 #: 0 outside, then beginning and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
@@ -62,83 +62,75 @@ class Model:
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         f = {k: np.asarray(v, np.float32) for k, v in w.items()}
-        self.hidden = f["rec_f"].shape[0]
-        h = self.hidden
-        # gates in the order input, forget, output, candidate; sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, so halve what goes in
+        self.hidden = h = f["rec_f"].shape[0]
+        # gates in the order input, forget, output, candidate; sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, so halve what goes in.
+        # The state is kept twice as large, so what it is multiplied by is halved too.
         half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)])
-        self.table = {d: (f["embed"] @ f[f"in_{d}"] + f[f"bias_{d}"]) * half for d in "fb"}
-        self.rec = {d: f[f"rec_{d}"] * half for d in "fb"}
-        self.out, self.out_bias, self.trans, self.first = f["out"], f["out_bias"], f["trans"], f["first"]
+        self.embed = np.ascontiguousarray(np.concatenate([f["embed"], np.ones((SYMBOLS, 1), np.float32)], axis=1).T)
+        self.weights = {d: np.ascontiguousarray((np.concatenate([f[f"rec_{d}"] * 0.5, f[f"in_{d}"], f[f"bias_{d}"][None]]) * half).T) for d in "fb"}
+        self.out = {d: np.ascontiguousarray(0.5 * o.T) for d, o in (("f", f["out"][:h]), ("b", f["out"][h:]))}
+        self.out_bias, self.trans, self.first = f["out_bias"], f["trans"], f["first"]
 
-    def _run(self, x: np.ndarray, d: str) -> np.ndarray:
+    def _run(self, x: np.ndarray, d: str, s: np.ndarray) -> None:
+        """Adds a direction's part to the scores (T, LABELS, N)."""
         n, t = x.shape
         h = self.hidden
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        out = np.empty((t, n, h), np.float32)
-        table, rec = self.table[d], self.rec[d]
+        # the state, then the embedding of the character and a one for the bias
+        given = np.zeros((h + len(self.embed), n), np.float32)
+        cell, z, part = np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((LABELS, n), np.float32)
+        weights, out = self.weights[d], self.out[d]
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = table[x[:, k]]
-            z += state @ rec
+            self.embed.take(x[:, k], axis=1, out=given[h:], mode="clip")
+            np.matmul(weights, given, out=z)
             np.tanh(z, out=z)
-            g = z[:, : 3 * h]
-            g *= 0.5
-            g += 0.5
-            cell *= z[:, h : 2 * h]
-            cell += z[:, :h] * z[:, 3 * h :]
-            state = np.tanh(cell)
-            state *= z[:, 2 * h : 3 * h]
-            out[k] = state
-        return out
+            z[: 3 * h] += 1
+            cell *= z[h : 2 * h]
+            z[:h] *= z[3 * h :]
+            cell += z[:h]
+            cell *= 0.5
+            np.tanh(cell, out=given[:h])
+            given[:h] *= z[2 * h : 3 * h]
+            s[k] += np.matmul(out, given[:h], out=part)
+
+    def _scores(self, x: np.ndarray) -> np.ndarray:
+        s = np.empty((x.shape[1], LABELS, x.shape[0]), np.float32)
+        s[:] = self.out_bias[:, None]
+        for d in "fb":
+            self._run(x, d, s)
+        return s
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """(T, N, LABELS) for symbols (N, T)."""
-        both = np.concatenate([self._run(x, "f"), self._run(x, "b")], axis=2)
-        return both @ self.out + self.out_bias
+        return self._scores(x).transpose(0, 2, 1)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best labels (N, T) by Viterbi."""
-        s = self.scores(x)
-        t, n, _ = s.shape
-        back = np.empty((t, n, LABELS), np.int8)
-        best = s[0] + self.first
+        best = self._scores(x)
+        t, _, n = best.shape
+        best[0] += self.first[:, None]
+        paths = np.empty((LABELS, LABELS, n), np.float32)
         for k in range(1, t):
-            paths = best[:, :, None] + self.trans
-            back[k] = paths.argmax(axis=1)
-            best = paths.max(axis=1)
-            best += s[k]
-        labels = np.empty((n, t), np.int8)
-        labels[:, -1] = best.argmax(axis=1)
-        rows = np.arange(n)
+            np.add(best[k - 1][:, None], self.trans[:, :, None], out=paths)
+            best[k] += paths.max(axis=0)
+        labels = np.empty((t, n), np.int8)
+        labels[-1] = best[-1].argmax(axis=0)
         for k in range(t - 1, 0, -1):
-            labels[:, k - 1] = back[k][rows, labels[:, k]]
-        return labels
+            labels[k - 1] = (best[k - 1] + self.trans[:, labels[k]]).argmax(axis=0)
+        return labels.T
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the windows of a text: all that lies near a gate's place, longer stretches in overlapping windows."""
+def windows(text: str, size: int = WINDOW, stride: int = STRIDE) -> list[tuple[int, int]]:
+    """(start, end) of the windows of a text, which cover all of it."""
     out: list[tuple[int, int]] = []
-    start = end = -1
-    for m in GATE.finditer(text):
-        s, e = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-        if end < 0:
-            start, end = s, e
-        elif s <= end:
-            end = max(end, e)
-        else:
-            _cover(out, start, end)
-            start, end = s, e
-    if end >= 0:
-        _cover(out, start, end)
+    start = 0
+    while len(text) - start > size:
+        out.append((start, start + size))
+        start += stride
+    if start < len(text):
+        out.append((start, len(text)))
     return out
 
 
-def _cover(out: list[tuple[int, int]], start: int, end: int) -> None:
-    while end - start > WINDOW:
-        out.append((start, start + WINDOW))
-        start += STRIDE
-    out.append((start, end))
-
-
 class Finder:
     """Finds the cases of texts; remembers the windows it has decoded."""
 
@@ -152,8 +144,10 @@ class Finder:
         for i in range(0, len(parts), BATCH):
             group = parts[i : i + BATCH]
             x = np.zeros((len(group), max(map(len, group))), np.int16)
+            code, at = symbols("".join(group)), 0
             for k, p in enumerate(group):
-                x[k, : len(p)] = symbols(p)
+                x[k, : len(p)] = code[at : at + len(p)]
+                at += len(p)
             for p, labels in zip(group, self.model.decode(x)):
                 self.known[p] = labels[: len(p)].tobytes()
 

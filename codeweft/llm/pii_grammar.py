@@ -1,7 +1,7 @@
-"""Where personal information may stand, and the exact form of each kind.
+"""The exact form of each kind of personal information.
 
-GATE finds every place that could begin a case; only text around such places is decoded by the model. snap() gives the exact
-bounds of a case that the model has pointed at, or None where its form is not that of the kind.
+snap() gives the exact bounds of a case that the model has pointed at, or None where its form is not that of the kind. A name
+with words in lower case has no form of its own to search for: any words may be one where the model has marked them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ _FAMILY = rf"{_PARTICLE}{_NAME_WORD}"
 NAME = re.compile(
     rf"(?<![\w@./-])(?!(?:The|Die|Das|Der|Den|Ein|Eine|Les?|La|Los|Las|Im|Do|Did|If|As|In|On|At|No|Any|Thanks|Reported|Author|Gemeldet|Merci|Danke|Gracias|According|Copyright) )(?:{_FAMILY}, {_NAME_WORD}(?: {_INITIAL})?(?![\w@])|{_FAMILY}, {_INITIAL}|{_NAME_WORD}(?:-{_NAME_WORD})?(?: {_INITIAL}){{0,2}} {_FAMILY}(?![\w@/])|(?:{_INITIAL} ?){{1,2}}{_FAMILY}(?![\w@/]))"
 )
+_ANY = rf"[{_U}{_L}][{_U}{_L}{_Q}]*"
+#: Words of any case; how a name with words in lower case looks once its bounds are known.
+LOW_NAME = re.compile(rf"(?![{_U}])(?:{_ANY}(?:-{_ANY})*, )?{_ANY}(?:-{_ANY})*(?: {_ANY}(?:-{_ANY})*| {_INITIAL}){{0,4}} {_ANY}(?:-{_ANY})*|{_ANY}(?:-{_ANY})*, {_ANY}(?:-{_ANY})*|{_ANY}(?:-{_ANY})*(?: {_INITIAL})* (?![{_U}]){_ANY}(?:-{_ANY})*|[{_L}]\.(?: ?[{_L}]\.)? ?{_ANY}(?:-{_ANY})*")
+_IN_WORD = re.compile(rf"[{_U}{_L}{_Q}-]")
 #: German says by whom with a word that is also part of names.
 _BY = re.compile(r"(?i)(?:gemeldet|geschrieben|gefunden|berichtet|verfasst|erstellt|genehmigt|freigegeben) $")
 _TITLE = re.compile(r"^(?:(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra|Herr|Frau|Mme|Mlle|M|Ing|Dipl|Sir|Señor|Señora|Hr|Fr)\.? )+(?=\S)")
@@ -54,16 +58,6 @@ _PLACE = rf"(?:\d{{4,6}} {_TOWN}|{_TOWN},? {_CODE}|{_TOWN})"
 _LINE1 = rf"(?:\d{{1,5}}[A-Za-z]? (?:{_WORD} ){{1,3}}{_STREET}|\d{{1,5}}(?: bis| ter)?,? (?:rue|avenue|boulevard|chemin|place|impasse|quai|all[eé]e|cours) (?:de la |de l{_Q[0]}|des |du |de |d{_Q[0]}|la |le )?{_WORD}(?:[ -]{_WORD})*|(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|C/) ?(?:(?:del|de|la|las|los|el) )*{_WORD}(?: {_WORD}){{0,2}},? \d{{1,4}}[A-Za-z]?|[{_U}][{_L}]+(?:-[{_U}][{_L}]+)*(?:stra(?:ss|{chr(0xDF)})e|str\.|weg|allee|platz|gasse|ring|damm|ufer) \d{{1,4}} ?[a-z]?|[{_U}][{_L}]+(?:[- ][{_U}][{_L}]+)? (?:Stra{chr(0xDF)}e|Weg|Allee|Platz|Ring) \d{{1,4}} ?[a-z]?|(?:P\.? ?O\.? ?Box|PO Box|Postfach|Apartado(?: de Correos)?|Case postale|BP|Casilla) \d{{1,6}})"
 ADDRESS = re.compile(rf"(?<![\w.-])(?:{_LINE1}){_UNIT}?(?:{_NEXT}|(?<=\w) (?=\d{{5}} )){_PLACE}(?![\w{_L}])")
 
-_GATES = (
-    r"@|[\[({<] ?at ?[\])}>]|&#(?:64|x40);|%40| at [\w.-]+ dot ",
-    r"(?<![\d.-])(?!\d{4}-\d\d-\d\dT|\d{13})\(?\d[\d ().\-]{6,}\d",
-    r"\+\d{6}",
-    r"(?<![\w+/])[A-Z]{1,5}[ \d][A-Z\d ]{5,}(?![\w+/])|(?<![\w])\d{8}-?[A-Z](?!\w)",
-    rf"\d[A-Za-z]? (?:rue|avenue|boulevard|chemin|place|impasse|quai|{_WORD} [{_U}])|(?:str\.|stra(?:ss|{chr(0xDF)})e|[Ww]eg|[Aa]llee|[Pp]latz|gasse|[Rr]ing|damm|ufer) \d|(?:Calle|Avenida|Plaza|Paseo|Camino|Box|Postfach|Apartado|Casilla) ",
-    rf"(?<![\w./`:@-])(?!(?:The|Die|Das|Der|Den|Ein|Eine|Les?|La|El|Los|Las|Im) )[{_U}](?:\. ?|[{_L}{_Q}]+(?:-[{_U}{_L}][{_L}{_Q}]+)*,? (?:[{_U}]\. )*(?:(?:de|del|van|von|der|da|di|la|den|ter) ){{0,3}}(?:al-|el-)?)[{_U}](?:[{_L}{_Q}-]+(?![\w(])|\.)|(?<![\w./-])[{_U}]{{3,}}(?:-[{_U}]+)?,? (?:[{_U}]\. )?(?:[A-Z]+ )?[{_U}]{{3,}}(?![\w_])",
-)
-GATE = re.compile("|".join(_GATES))
-
 
 def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
@@ -119,6 +113,26 @@ def candidates(kind: str, text: str, start: int, end: int) -> list[tuple[int, in
     return [(s, e) for s, e in out if s < end and start < e]
 
 
+def _low_name(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The whole words of a stretch, if they may be a name with words in lower case."""
+    while start < end and not text[start].isalpha():
+        start += 1
+    while start < end and not (text[end - 1].isalpha() or text[end - 1] == "."):
+        end -= 1
+    # a mark that misses a word's first or last letters
+    low, high = max(0, start - 12), min(len(text), end + 12)
+    while start > low and _IN_WORD.match(text[start - 1]):
+        start -= 1
+    while end < high and _IN_WORD.match(text[end]):
+        end += 1
+    if (t := _TITLE.match(text[start:end])) is not None:
+        start += t.end()
+    s = text[start:end]
+    if LOW_NAME.fullmatch(s) is None or not any(w[0].islower() for w in re.findall(r"[^\W\d_]{3,}", s)):
+        return None
+    return None if re.match(r"[\w@./-]", text[start - 1 : start]) or re.match(r"[\w@/]", text[end : end + 1]) else (start, end)
+
+
 def snap(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
     """The exact form that shares most with a stretch the model has marked, if it shares half of it or of itself."""
     best, most = None, 0
@@ -128,4 +142,4 @@ def snap(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
             best, most = (s, e), shared
     if best and 2 * most >= min(end - start, best[1] - best[0]):
         return best
-    return None
+    return _low_name(text, start, end) if kind == "name" else None

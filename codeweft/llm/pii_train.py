@@ -1,9 +1,10 @@
 """python -m codeweft.llm.pii_train SF_DIR [SECONDS [PROCESSES [continue]]]: trains the model of pii.py in numpy and writes its weights beside it.
 
 The labelled spans are made from a bounded sample of documents (DOCUMENTS rows at most): the exact forms of pii_grammar.py,
-and for names the forms with a given name that signs a commit or review in the sample. Part of the names and digits are then
-made anew at random, so that the model learns forms and surroundings and not the sample's names. A fifth of the
-documents is held out; its accuracy by spans is printed.
+and for names the forms with a given name that signs a commit or review in the sample, in lower case too. Part of the names
+and digits are then made anew at random and part of the forms put in rarer ones (names in lower case, other prefixes, other
+signs), so that the model learns forms and surroundings and not the sample's names. A fifth of the documents is held out; its
+accuracy by spans is printed, names in lower case also by themselves.
 """
 
 from __future__ import annotations
@@ -19,16 +20,35 @@ import duckdb
 import numpy as np
 
 from . import pii_grammar as G
-from .pii import LABELS, SYMBOLS, WEIGHTS, WINDOW, Finder, Model, symbols, windows
+from .pii import LABELS, SYMBOLS, WEIGHTS, Finder, Model, symbols, windows
 
 #: Bound of the labelled sample.
 DOCUMENTS = 20_000
 EMBED, HIDDEN, RATE = 20, 28, 4e-3
+#: Characters of a window in training and between the starts of two.
+WINDOW, STRIDE = 96, 56
 _SIGNED = re.compile(r"(?:Signed-off-by|Reviewed-by): (\w[\w'-]+) ")
 #: Words that follow a given name in the names of services.
 _SERVICE = re.compile(r"(?i)\b(?:indexer|scheduler|router|queue|builder|index|service|team|graph|server|runner|worker|store|cache)\b")
 
 
+_LOW_WORD = r"[^\W\d_]+(?:['-][^\W\d_]+)*"
+_LOW_PAIR = re.compile(rf"(?<![\w@./-])({_LOW_WORD})(?: (?:van|von|de|del|der|den|da|di|la|al|el))* ({_LOW_WORD})(?![\w@/])")
+
+
+def low_names(text: str, given: set[str]) -> list[tuple[int, int]]:
+    """A given name in lower case and the word in lower case after it."""
+    out = []
+    at = 0
+    while m := _LOW_PAIR.search(text, at):
+        if m[1].islower() and m[2].islower() and m[1].upper() in given and not _SERVICE.search(m[0]):
+            out.append((m.start(), m.end()))
+            at = m.end()
+        else:
+            at = m.end(1)
+    return out
+
+
 def spans(text: str, given: set[str]) -> list[tuple[int, int, int]]:
     """(start, end, kind) of a text's labelled spans, without overlap."""
     out = []
@@ -40,6 +60,7 @@ def spans(text: str, given: set[str]) -> list[tuple[int, int, int]]:
         before = text[max(0, s - 4) : s].lower()
         if person and not _SERVICE.search(text[s:e]) and len(words) > 1 and not before.endswith("the "):
             out.append((s, e, 4))
+    out += [(s, e, 4) for s, e in low_names(text, given)]
     kept: list[tuple[int, int, int]] = []
     for c in sorted(out, key=lambda c: (c[0], -c[1])):
         if not kept or c[0] >= kept[-1][1]:
@@ -55,17 +76,57 @@ def _word(r: random.Random, like: str) -> str:
     return w.upper() if like.isupper() and len(like) > 1 else w.capitalize() if like[0].isupper() else w
 
 
+def _rare_name(piece: str, r: random.Random) -> str:
+    x = r.random()
+    first, _, last = piece.rpartition(" ")
+    if x < 0.25:
+        return piece.lower()
+    if not first or not last[:1].isupper() or x > 0.45:
+        return piece
+    if x < 0.28:
+        return f"{first} {last.lower()}"
+    if x < 0.30:
+        return f"{first.lower()} {last}"
+    if x < 0.34:
+        return f"{first} {last.upper()}"
+    if x < 0.39:
+        return f"{first} {r.choice(['Mc', 'Mac', chr(79) + chr(39), 'D' + chr(39)])}{last.capitalize()}"
+    return f"{first} {r.choice('de del della der den van von zu zum af da do dos du la ter ten bin ibn'.split())} {last}"
+
+
+def _rare_mail(piece: str, r: random.Random) -> str:
+    x = r.random()
+    if x > 0.12 or "@" not in piece:
+        return piece
+    if x < 0.03:
+        return piece.replace("@", " at ")
+    return piece.replace("@", r.choice(["(AT)", " (AT) ", "[AT]", " [AT] ", " {AT} ", "(at)", "[at]"]))
+
+
+def _rare_address(piece: str, r: random.Random) -> str:
+    if r.random() < 0.4:
+        piece = re.sub(r"^(\d+),? (?=rue|avenue|boulevard|chemin|place|impasse)", lambda m: m[1] + r.choice([" bis ", " ter ", ", ", " bis, "]), piece)
+        piece = re.sub(r"(?<=\d )rue|(?<=, )rue|(?<=s )rue|(?<=r )rue", lambda m: r.choice(["quai", "cours", "all" + chr(0xE9) + "e", "rue"]), piece)
+        piece = re.sub(r"^(?:Calle|Avenida|Plaza|Paseo|Camino)(?= )", lambda m: r.choice(["Avda.", "Ronda", "C/", m[0]]), piece)
+        piece = re.sub(r"^(?:P\.? ?O\.? ?Box|PO Box|Postfach|Apartado)(?= \d)", lambda m: r.choice(["BP", "Case postale", "Casilla", m[0]]), piece)
+    return piece
+
+
 def changed(text: str, own: list[tuple[int, int, int]], r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """The text with other names and digits of the same form in its spans."""
     parts, out, at, n = [], [], 0, 0
     for s, e, k in own:
         piece = text[s:e]
         if k == 4:
-            piece = re.sub(r"[^\W\d_]{3,}", lambda m: _word(r, m[0]), piece)
+            piece = _rare_name(re.sub(r"[^\W\d_]{3,}", lambda m: _word(r, m[0]), piece), r)
         elif k == 0:
-            piece = re.sub(r"^[a-z]{3,}", lambda m: _word(r, m[0]), piece)
+            piece = _rare_mail(re.sub(r"^[a-z]{3,}", lambda m: _word(r, m[0]), piece), r)
         else:
             piece = re.sub(r"(?<=\d)\d", lambda m: str(r.randint(0, 9)), piece)
+            if k == 3:
+                piece = _rare_address(piece, r)
+            elif k == 1 and r.random() < 0.05:
+                piece = f"0{r.randint(20, 9999)}{r.choice('/-')}{r.randint(10**5, 10**8 - 1)}"
         parts += [text[at:s], piece]
         n += s - at
         out.append((n, n + len(piece), k))
@@ -87,7 +148,7 @@ def examples(texts: list[str], given: set[str], r: random.Random | None) -> tupl
             label[s:e] = 2 + 2 * k
             label[s] = 1 + 2 * k
         code = symbols(t)
-        for s, e in windows(t):
+        for s, e in windows(t, WINDOW, STRIDE):
             x, y = np.zeros(WINDOW, np.int16), np.full(WINDOW, -1, np.int8)
             x[: e - s], y[: e - s] = code[s:e], label[s:e]
             xs.append(x)
@@ -212,8 +273,8 @@ def _part(task: tuple[dict, np.ndarray]) -> tuple[float, dict, int]:
     return (*loss_and_gradient(w, _DATA[0][rows], _DATA[1][rows]), len(rows))
 
 
-def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96, processes: int = 4, seed: int = 7, start: dict | None = None) -> dict[str, np.ndarray]:
-    """Adam over shuffled windows until the time is up; the rate falls to a twentieth. Each process takes a batch a step."""
+def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96, processes: int = 4, seed: int = 7, start: dict | None = None, rate_0: float = RATE) -> dict[str, np.ndarray]:
+    """Adam over shuffled windows until the time is up; the rate falls from rate_0 to a twentieth. Each process takes a batch a step."""
     global _DATA
     _DATA = (x, y)
     r = np.random.default_rng(seed)
@@ -230,7 +291,7 @@ def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96, process
                 g = {k: sum(d[1][k] * (d[2] / n) for d in done) for k in w}
                 norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
                 step += 1
-                rate = RATE * (1 - 0.95 * part) * min(1, 20 / max(norm, 1e-6))
+                rate = rate_0 * (1 - 0.95 * part) * min(1, 20 / max(norm, 1e-6))
                 for k in w:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.999 * v[k] + 0.001 * g[k] * g[k]
@@ -244,15 +305,17 @@ def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96, process
 
 
 def accuracy(finder: Finder, texts: list[str], given: set[str]) -> dict[str, tuple[int, int, int]]:
-    """By kind: spans found, of the labelled ones, and found in all."""
-    out = {k: [0, 0, 0] for k in G.KINDS}
+    """By kind: spans found, of the labelled ones, and found in all; "lower" are the names in lower case."""
+    out = {k: [0, 0, 0] for k in (*G.KINDS, "lower")}
     for t, found in zip(texts, finder.found(texts)):
         want = {(s, e, G.KINDS[k]) for s, e, k in spans(t, given)}
         for c in want:
-            out[c[2]][1] += 1
-            out[c[2]][0] += c in found
+            for k in (c[2], "lower")[: 1 + (c[2] == "name" and t[c[0] : c[1]].islower())]:
+                out[k][1] += 1
+                out[k][0] += c in found
         for c in found:
-            out[c[2]][2] += 1
+            for k in (c[2], "lower")[: 1 + (c[2] == "name" and t[c[0] : c[1]].islower())]:
+                out[k][2] += 1
     return {k: tuple(v) for k, v in out.items()}
 
 
@@ -270,19 +333,31 @@ def _kept() -> dict[str, np.ndarray]:
         return {k: v.astype(np.float32) for k, v in f.items()}
 
 
+def _wrong(model: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((model.decode(x) != y) & (y >= 0)).any(axis=1)
+
+
 def main(sf_dir: str, seconds: float) -> None:
     docs = sample(sf_dir)
     given = given_names([t for _, t in docs])
     held = [t for i, t in docs if i % 5 == 0]
-    x, y = examples([t for i, t in docs if i % 5], given, random.Random(3))
-    # windows without a span are many and easy: keep all with one, and as many again
+    processes = int(sys.argv[3]) if len(sys.argv) > 3 else 4
+    learnt = [t for i, t in docs if i % 5]
+    with multiprocessing.get_context("fork").Pool(processes) as pool:
+        x, y = map(np.concatenate, zip(*pool.starmap(examples, [(learnt[k::processes], given, random.Random(3 + k)) for k in range(processes)])))
+    # windows without a span are many and easy: keep all with one, as many again, and those that the kept weights mark wrongly
     has = (y > 0).any(axis=1)
-    keep = has | (np.random.default_rng(1).random(len(x)) < min(1.0, 1.2 * has.mean() / max(1e-9, 1 - has.mean())))
+    wrong = np.zeros(len(x), bool)
+    if "continue" in sys.argv:
+        with multiprocessing.get_context("fork").Pool(processes) as pool:
+            model = Model(_kept())
+            wrong = np.concatenate(pool.starmap(_wrong, [(model, a, b) for a, b in zip(np.array_split(x, len(x) // 512 + 1), np.array_split(y, len(x) // 512 + 1))]))
+    keep = has | wrong | (np.random.default_rng(1).random(len(x)) < min(1.0, 1.2 * has.mean() / max(1e-9, 1 - has.mean())))
     # identity numbers are the fewest: their windows count three times
     number = keep & np.isin(y, (5, 6)).any(axis=1)
     print(f"{len(x)} windows, {has.sum()} with a span, {keep.sum()} used, {len(given)} given names", flush=True)
     rows = np.concatenate([np.flatnonzero(keep), np.repeat(np.flatnonzero(number), 2)])
-    w = train(x[rows], y[rows], seconds, processes=int(sys.argv[3]) if len(sys.argv) > 3 else 4, start=_kept() if "continue" in sys.argv else None)
+    w = train(x[rows], y[rows], seconds, processes=processes, **({"start": _kept(), "rate_0": RATE / 3} if "continue" in sys.argv else {}))
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in w.items()})
     print(accuracy(Finder(Model(w)), held, given), Path(WEIGHTS).stat().st_size)
 

@@ -43,6 +43,17 @@ def test_long_texts_and_windows(finder):
     assert candidates("email", text, 0, len(text)) == []
 
 
+@pytest.mark.parametrize("text,want", [("Thanks to marta velindower for the trace.", "marta velindower"), ("Reported by katya bramelov during the on-call shift.", "katya bramelov"), ("Co-reviewed with petra leimookheir (platform).", "petra leimookheir"), ("The map is lazy.\n- [ ] ask rafaela halenmere about the budget", "rafaela halenmere")])
+def test_names_in_lower_case(finder, text, want):
+    assert [(k, text[s:e]) for s, e, k in finder.found([text])[0]] == [("name", want)]
+
+
+def test_windows_cover_whole_texts():
+    for n in (1, 95, 256, 257, 1000, 5000):
+        own = windows("x " * n)
+        assert own[0][0] == 0 and own[-1][1] == 2 * n and all(a[1] > b[0] for a, b in zip(own, own[1:]))
+
+
 def test_viterbi_is_exact():
     r = np.random.default_rng(0)
     w = T.start_weights(r)
