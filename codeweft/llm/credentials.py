@@ -53,6 +53,8 @@ _UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z")
 _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5|h1)[-:]|^data:")
 _B64 = re.compile(r"(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2,4}={0,2})\Z|[A-Za-z0-9_-]+={0,2}\Z")
 
+_ESCAPE = re.compile(r"\\[xu0-7]")
+
 # fixed values: how well-known issuers begin their tokens
 _KNOWN = (
     r"(?:A3T[A-Z0-9]|AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}|gh[opusr]_[A-Za-z0-9]{20,}|github_pat_\w{22,}|glpat-[\w-]{16,}|xox[abeoprs]-[\w-]{10,}|(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{20,}|AIza[\w-]{20,}|ya29\.[\w-]{20,}|"
@@ -159,11 +161,16 @@ def _der(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 def _layers(v: str) -> Iterator[bytes]:
     """What the value may stand for, one layer down."""
-    if "\\x" in v or "\\u" in v:
+    if _ESCAPE.search(v):
         try:
-            yield v.encode("latin-1", "backslashreplace").decode("unicode_escape").encode("utf-8", "replace")
+            text = v.encode("latin-1", "backslashreplace").decode("unicode_escape")
         except (UnicodeDecodeError, ValueError):
-            pass
+            text = ""
+        # escapes below 256 are bytes, of a container or of UTF-8; other ones are characters
+        if text and max(text) < "\u0100":
+            yield text.encode("latin-1")
+        if text and not text.isascii():
+            yield text.encode("utf-8", "replace")
     if v.count("%") >= 2:
         raw = unquote_to_bytes(v)
         if raw != v.encode():
@@ -202,6 +209,8 @@ def _judge(prefix: str, v: str) -> bool:
         return False
     if _token(v):
         return not _harmless(v)
+    if len(v) >= 16 and _ESCAPE.search(v) and any(private_key(raw) for raw in _layers(v)):
+        return True
     names = [n for n in _NAMES.findall(prefix[-160:]) if n.lower() not in _NOT_NAMES]
     name = names[-1].rstrip(".-") if names else ""
     if name and prefix.rstrip().endswith(name + "("):
@@ -287,7 +296,7 @@ def places(text: str, path: str = "") -> Iterator[tuple[int, int, str]]:
             more, stop = _joined(text, m.end())
             if more:
                 v, end = v + more, stop - 1
-        if " " in v:
+        if " " in v and not _ESCAPE.search(v):
             continue
         line = text.rfind("\n", 0, start) + 1
         prefix = text[max(line, start - 160) : start - 1]

@@ -78,6 +78,20 @@ def test_private_key_grammar():
     assert private_key(der(0x30, b"".join(der(2, bytes([i])) for i in range(9))))
 
 
+LONG8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, bytes(i * 7 % 256 for i in range(600))))
+
+
+@pytest.mark.parametrize("form", ["\\x%02x", "\\%03o", "\\x%02X"])
+def test_escaped_key_containers(form):
+    for key, want in ((LONG8, [1]), (PKCS8, [1]), (der(0x30, der(0x30, der(6, b"\x2a\x86\x48")) + der(3, bytes(300))), [])):
+        text = 'x = "' + "".join(form % b for b in key) + '"'
+        assert lines(text) == want
+        assert not want or redact(text, find(text, "a.py")) == f'x = "{MARK}"'
+    # bytes that can be printed stand for themselves, a space too
+    mixed = 'data = b"' + "".join(chr(b) if 32 <= b < 127 and chr(b) not in "\"\\" else form % b for b in LONG8) + '"'
+    assert form != "\\x%02x" or lines(mixed) == [1]
+
+
 def test_frames(spark):
     rows = [(1, "a.env", "X=1\nPASSWORD=a1b2c3!!\n"), (1, "a.env", "X=1\nPASSWORD=a1b2c3!!\n"), (2, "b", None), (3, None, ""), (None, "c.env", "PASSWORD=a1b2c3!!"), (4, "long.py", "x = 1\n" * 100_000 + 'password = "a1b2c3!!"')]
     df = spark.createDataFrame([(*r, 7) for r in rows], "file_id bigint, path string, content string, line_no int")
