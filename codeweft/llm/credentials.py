@@ -205,7 +205,7 @@ def _hidden(v: str, depth: int = DEPTH) -> bool:
 
 def _judge(prefix: str, v: str) -> bool:
     """Whether a literal is a credential; prefix: the line before it."""
-    if len(v) < 6 or len(v) > 4096 and not _B64.match(v):
+    if len(v) < 6:
         return False
     if _token(v):
         return not _harmless(v)

@@ -92,6 +92,13 @@ def test_escaped_key_containers(form):
     assert form != "\\x%02x" or lines(mixed) == [1]
 
 
+@pytest.mark.parametrize("form", ["%%%02X", "\\x%02x"])
+def test_long_encoded_keys(form):
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join([BODY[:64]] * 26) + "\n-----END PRIVATE KEY-----\n"
+    text = 'x = "' + "".join(form % b for b in pem.encode()) + '"'
+    assert len(text) > 4096 and lines(text) == [1] and redact(text, find(text, "a.py")) == f'x = "{MARK}"'
+
+
 def test_frames(spark):
     rows = [(1, "a.env", "X=1\nPASSWORD=a1b2c3!!\n"), (1, "a.env", "X=1\nPASSWORD=a1b2c3!!\n"), (2, "b", None), (3, None, ""), (None, "c.env", "PASSWORD=a1b2c3!!"), (4, "long.py", "x = 1\n" * 100_000 + 'password = "a1b2c3!!"')]
     df = spark.createDataFrame([(*r, 7) for r in rows], "file_id bigint, path string, content string, line_no int")
