@@ -290,12 +290,10 @@ def places(text: str, path: str = "") -> Iterator[tuple[int, int, str]]:
         if i is None or m.end(i) - m.start(i) < 4:
             continue
         v, start = m[i], m.start(i)
-        tail = text[m.end() : m.end() + 3].lstrip()
         end = m.end(i)
-        if tail and tail[0] in "+.\\,\"'`<":
-            more, stop = _joined(text, m.end())
-            if more:
-                v, end = v + more, stop - 1
+        more, stop = _joined(text, m.end())
+        if more:
+            v, end = v + more, stop - 1
         if " " in v and not _ESCAPE.search(v):
             continue
         line = text.rfind("\n", 0, start) + 1

@@ -73,6 +73,13 @@ def test_joined_parts_are_masked():
         assert "uLs33" not in masked and "dgdW" not in masked and "Q32r" not in masked and MARK in masked
 
 
+def test_parts_joined_at_the_head_of_the_next_line():
+    for text in ('String x = "npm_abcD3"\n      + "f9Gh2Jk4Lm6Np8Qr1St3Uv5"\n      + "w7X";\n', '$password = "hlx9Dk7Qp"\r\n\t\t. "Q32rAEgFphdz8";\n'):
+        found = find(text, "a.java")
+        masked = redact(text, found)
+        assert len(found) == 1 and "f9Gh2" not in masked and "w7X" not in masked and "Q32r" not in masked and masked.count("\n") == text.count("\n")
+
+
 def test_private_key_grammar():
     assert private_key(PKCS8) and private_key(b"openssh-key-v1\0rest") and not private_key(SPKI) and not private_key(b"") and not private_key(b"\x30\x82")
     assert private_key(der(0x30, b"".join(der(2, bytes([i])) for i in range(9))))
