@@ -48,6 +48,28 @@ def test_names_in_lower_case(finder, text, want):
     assert [(k, text[s:e]) for s, e, k in finder.found([text])[0]] == [("name", want)]
 
 
+RARE = [
+    ("Reported by Ian McDonald during the on-call shift.", "Ian McDonald"),
+    ("Thanks to Karl zu Velind for the trace.", "Karl zu Velind"),
+    ("Thanks to Omar bin Khalud for the trace.", "Omar bin Khalud"),
+    ("Merci à Jean DUPONT pour la relecture.", "Jean DUPONT"),
+    ("Write to tomas (AT) brack-it.test if the queue is late.", "tomas (AT) brack-it.test"),
+    ("Write to tomas [AT] brack-it.test if the queue is late.", "tomas [AT] brack-it.test"),
+    ("Write to tomas at brack-it.test if the queue is late.", "tomas at brack-it.test"),
+    ("Ship the replacement node to 12 bis rue Velmer, 75011 Pontrelle", "12 bis rue Velmer, 75011 Pontrelle"),
+    ("Ship the replacement node to 12, rue Velmer, 75011 Pontrelle", "12, rue Velmer, 75011 Pontrelle"),
+    ("Ship the replacement node to 12 quai Velmer, 75011 Pontrelle", "12 quai Velmer, 75011 Pontrelle"),
+    ("Ship the replacement node to Avda. Velmera 12, 28013 Villaserna", "Avda. Velmera 12, 28013 Villaserna"),
+    ("Ship the replacement node to BP 1234, 75011 Pontrelle", "BP 1234, 75011 Pontrelle"),
+    ("Call me on 0711/123456 when the queue is back.", "0711/123456"),
+]
+
+
+@pytest.mark.parametrize("text,want", RARE)
+def test_rare_forms(finder, text, want):
+    assert [text[s:e] for s, e, _ in finder.found([text])[0]] == [want]
+
+
 def test_windows_cover_whole_texts():
     for n in (1, 95, 256, 257, 1000, 5000):
         own = windows("x " * n)
