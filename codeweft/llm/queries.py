@@ -83,6 +83,16 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p5_chunks(spark, d))
 
 
+@REGISTRY.add("p5_tiers")
+def p5_tiers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.tier_report(p5_chunks(spark, d))
+
+
+@REGISTRY.add("p5_groups")
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return packing.group_report(p5_chunks(spark, d))
+
+
 @REGISTRY.add("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_information(table(spark, d, "documents"))
