@@ -80,9 +80,41 @@ def test_parts_joined_at_the_head_of_the_next_line():
         assert len(found) == 1 and "f9Gh2" not in masked and "w7X" not in masked and "Q32r" not in masked and masked.count("\n") == text.count("\n")
 
 
-def test_private_key_grammar():
-    assert private_key(PKCS8) and private_key(b"openssh-key-v1\0rest") and not private_key(SPKI) and not private_key(b"") and not private_key(b"\x30\x82")
-    assert private_key(der(0x30, b"".join(der(2, bytes([i])) for i in range(9))))
+def num(n):
+    return der(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+# two primes, so that the numbers of the key fit together
+P, Q = (1 << 521) - 1, (1 << 607) - 1
+D = pow(65537, -1, (P - 1) * (Q - 1))
+PKCS1 = der(0x30, b"".join(map(num, (0, P * Q, 65537, D, P, Q, D % (P - 1), D % (Q - 1), pow(Q, -1, P)))))
+RSA8 = der(0x30, num(0) + der(0x30, der(6, bytes.fromhex("2a864886f70d010101")) + der(5, b"")) + der(4, PKCS1))
+SEC1 = der(0x30, num(1) + der(4, bytes(range(1, 33))) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))))
+LOCKED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, bytes(48)))
+PFX = der(0x30, num(3) + der(0x30, der(6, bytes.fromhex("2a864886f70d010701")) + der(0xA0, der(4, bytes(90)))))
+
+
+def string(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+OPENSSH = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(string(b"ssh-ed25519") + string(bytes(32))) + string(bytes(4) + bytes(4) + string(b"ssh-ed25519") + bytes(104))
+STORE = bytes.fromhex("feedfeed") + (2).to_bytes(4, "big") + (1).to_bytes(4, "big") + (1).to_bytes(4, "big") + b"\0\1a" + bytes(8) + string(PKCS8) + (0).to_bytes(4, "big") + bytes(20)
+PGP = bytes([0x94, 60, 4]) + bytes(4) + bytes([22]) + bytes(54)
+
+
+@pytest.mark.parametrize("key", [PKCS8, PKCS1, RSA8, SEC1, LOCKED, PFX, OPENSSH, STORE, PGP])
+def test_private_key_grammar(key):
+    assert private_key(key)
+    assert not private_key(key[:-1]) and not private_key(key + b"x")
+    assert lines(f'x = "{base64.b64encode(key).decode()}"') == [1]
+
+
+def test_no_private_keys():
+    wrong = der(0x30, b"".join(map(num, (0, P * Q + 2, 65537, D, P, Q, D % (P - 1), D % (Q - 1), pow(Q, -1, P)))))
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
+    for key in (b"openssh-key-v1\0rest", b"openssh-key-v1\0junk" * 9, SPKI, b"", b"\x30\x82", wrong, digest, bytes(64), PKCS1.replace(b"\x02\x03\x01\x00\x01", b"\x02\x03\x00\x00\x01")):
+        assert not private_key(key)
 
 
 LONG8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, bytes(i * 7 % 256 for i in range(600))))
@@ -106,6 +138,76 @@ def test_long_encoded_keys(form):
     assert len(text) > 4096 and lines(text) == [1] and redact(text, find(text, "a.py")) == f'x = "{MARK}"'
 
 
+SECRET = "npm_abcD3f9Gh2Jk4Lm6Np8Qr1St3Uv5w7X"
+
+
+@pytest.mark.parametrize("depth", range(1, 9))
+def test_layers_of_any_depth(depth):
+    for form in (lambda b: base64.b64encode(b), lambda b: b.hex().encode(), lambda b: "".join(f"%{c:02x}" for c in b).encode()):
+        raw = SECRET.encode()
+        for _ in range(depth if form(b"a") != b"%61" else min(depth, 5)):
+            raw = form(raw)
+        text = f'a = 1\nx = "{raw.decode()}"\n'
+        assert lines(text) == [2] and redact(text, find(text, "a.py")) == f'a = 1\nx = "{MARK}"\n'
+
+
+def test_mixed_layers():
+    raw = "".join(f"\\x{c:02x}" for c in base64.b64encode(b"cfg=" + SECRET.encode().hex().encode() + b";")).encode()
+    assert lines(f'x = "{base64.b64encode(raw).decode()}"') == [1]
+
+
+LONG64 = base64.b64encode(RSA8).decode()
+WRAPPED = [LONG64[i : i + 64] for i in range(0, len(LONG64), 64)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'x = """\n' + "\n".join(WRAPPED) + '\n"""\n',
+        "x = (\n" + "\n".join(f'    "{w}"' for w in WRAPPED) + "\n)\n",
+        "String x =\n" + " +\n".join(f'  "{w}"' for w in WRAPPED) + ";\n",
+        "x:\n  blob: |\n" + "".join(f"    {w}\r\n" for w in WRAPPED) + "y: 1\n",
+        "cat <<EOF\n" + "\n".join(WRAPPED) + "\nEOF\n",
+        "\n// " + "\n// ".join(WRAPPED) + "\n",
+        'x = "' + "\\n".join(WRAPPED) + '"\n',
+        'print("the blob is ' + LONG64 + ' and no more")\n',
+        "unsigned char x[] = {\n" + ",\n".join(", ".join(f"0x{c:02x}" for c in RSA8[i : i + 12]) for i in range(0, len(RSA8), 12)) + "\n};\n",
+        "x = bytes([" + ", ".join(map(str, RSA8)) + "])\n",
+        "# " + ":".join(f"{c:02x}" for c in RSA8) + "\n",
+        "x = [" + ", ".join(f"'{w}'" for w in WRAPPED) + "].join('')\n",
+    ],
+)
+def test_runs_within_and_across_literals(text):
+    found = find(text, "a.py")
+    masked = redact(text, found)
+    assert len(found) == 1 and not find(masked, "a.py")
+    assert masked.count("\n") == text.count("\n") and masked.count('"') == text.count('"') and masked.count(",") == text.count(",")
+    assert WRAPPED[3] not in masked and len(masked) >= text.count("\n")
+
+
+def test_what_a_value_decodes_to_is_judged():
+    b64 = lambda t: base64.b64encode(t.encode()).decode()
+    assert lines(f"  password: {b64('kettle-magnet93')}\n", "a.yml") == [1]
+    for harmless in ("changeme", "${DB_PASSWORD}", "placeholder-value"):
+        assert lines(f"  password: {b64(harmless)}\n", "a.yml") == []
+    head, claims = (b64(x).rstrip("=") for x in ('{"alg":"HS256"}', '{"sub":"a"}'))
+    assert lines(f'x = "{head}.{claims}.BI_oab12cd34ef"') == [1] and lines(f'x = "{head}.{claims}"') == []
+    assert lines(f'h = "Basic {b64("svc:gravel&13")}"') == [1] and lines(f'h = "Basic {b64("svc:${PASSWORD}")}"') == []
+
+
+def test_large_percent_encoded_file():
+    text = "key = '" + "".join(f"%{c:02X}" for c in (b"x = 1 # nothing here\n" * 300 + f'token = "{SECRET}"\n'.encode())) + "'"
+    assert len(text) > 19_000 and lines(text) == [1]
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    text = "var a=[" + ",".join(f'"{i:x}z"' for i in range(120_000)) + '],password="a1b2c3!!";'
+    began = time.time()
+    assert lines(text, "a.js") == [1] and time.time() - began < 20
+
+
 def test_frames(spark):
     rows = [(1, "a.env", "X=1\nPASSWORD=a1b2c3!!\n"), (1, "a.env", "X=1\nPASSWORD=a1b2c3!!\n"), (2, "b", None), (3, None, ""), (None, "c.env", "PASSWORD=a1b2c3!!"), (4, "long.py", "x = 1\n" * 100_000 + 'password = "a1b2c3!!"')]
     df = spark.createDataFrame([(*r, 7) for r in rows], "file_id bigint, path string, content string, line_no int")
