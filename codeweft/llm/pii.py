@@ -3,8 +3,8 @@
 A character-level bidirectional LSTM with CRF transitions marks it: each character gets scores for the beginning and the inside
 of every kind, and the best sequence of a window is found by Viterbi decoding. Overlapping windows cover the whole of every
 text; their decodings are reconciled over it: of two windows the one decides a character in which it lies further from the
-edge. What the model marks is then held against the exact form of its kind, which gives the bounds; a stretch without that
-form is dropped.
+edge. What the model marks is then brought to exact bounds, by the form of its kind if it has one, else by whole words; a stretch
+that can't be of its kind (a phone number without digits) is dropped.
 
 The model is trained in numpy from labelled spans (pii_train.py); its weights are a small file beside this module, read once
 and sent to the tasks. Windows that repeat are decoded once a task.
@@ -27,11 +27,13 @@ from .pii_grammar import KINDS, snap
 
 WEIGHTS = str(Path(__file__).with_name("pii_model.npz"))
 #: Characters of a window and between the starts of two that overlap.
-WINDOW, STRIDE = 256, 216
+WINDOW, STRIDE = 768, 728
 BATCH = 512
 #: 0 outside, then beginning and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 SYMBOLS = 140
+#: How steeply the gates open.
+SLOPE = 0.2
 
 
 def _symbol_table() -> np.ndarray:
@@ -58,45 +60,51 @@ def symbols(text: str) -> np.ndarray:
 
 
 class Model:
-    """Weights: embed (SYMBOLS, E); per direction in (E, 4H), rec (H, 4H), bias (4H); out (2H, LABELS), out_bias; trans (LABELS, LABELS), first (LABELS)."""
+    """Weights: embed (SYMBOLS, E); per direction in (E, 4H), rec (H, 4H), bias (4H); out (2H, LABELS), out_bias; trans (LABELS, LABELS), first (LABELS).
+
+    Gates, in the order input, forget, output, open by a straight line, clipped: SLOPE * x + 1/2 within 0 and 1. The candidate and
+    the state go through tanh.
+    """
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         f = {k: np.asarray(v, np.float32) for k, v in w.items()}
         self.hidden = h = f["rec_f"].shape[0]
-        # gates in the order input, forget, output, candidate; sigmoid(x) = tanh(x / 2) / 2 + 1 / 2, so halve what goes in.
-        # The state is kept twice as large, so what it is multiplied by is halved too.
-        half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)])
+        scale = np.concatenate([np.full(3 * h, SLOPE, np.float32), np.ones(h, np.float32)])
+        half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.zeros(h, np.float32)])
         self.embed = np.ascontiguousarray(np.concatenate([f["embed"], np.ones((SYMBOLS, 1), np.float32)], axis=1).T)
-        self.weights = {d: np.ascontiguousarray((np.concatenate([f[f"rec_{d}"] * 0.5, f[f"in_{d}"], f[f"bias_{d}"][None]]) * half).T) for d in "fb"}
-        self.out = {d: np.ascontiguousarray(0.5 * o.T) for d, o in (("f", f["out"][:h]), ("b", f["out"][h:]))}
+        self.weights = {d: np.ascontiguousarray(np.concatenate([f[f"rec_{d}"] * scale, f[f"in_{d}"] * scale, (f[f"bias_{d}"] * scale + half)[None]]).T) for d in "fb"}
+        self.out = {d: np.ascontiguousarray(o.T) for d, o in (("f", f["out"][:h]), ("b", f["out"][h:]))}
         self.out_bias, self.trans, self.first = f["out_bias"], f["trans"], f["first"]
 
     def _run(self, x: np.ndarray, d: str, s: np.ndarray) -> None:
-        """Adds a direction's part to the scores (T, LABELS, N)."""
-        n, t = x.shape
+        """Adds a direction's part to the scores (T, LABELS, N). x: (T, N)."""
+        t, n = x.shape
         h = self.hidden
         # the state, then the embedding of the character and a one for the bias
         given = np.zeros((h + len(self.embed), n), np.float32)
+        state, letter = given[:h], given[h:]
         cell, z, part = np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((LABELS, n), np.float32)
+        gates, enter, keep, leave, candidate = z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
         weights, out = self.weights[d], self.out[d]
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            self.embed.take(x[:, k], axis=1, out=given[h:], mode="clip")
+            self.embed.take(x[k], axis=1, out=letter, mode="clip")
             np.matmul(weights, given, out=z)
-            np.tanh(z, out=z)
-            z[: 3 * h] += 1
-            cell *= z[h : 2 * h]
-            z[:h] *= z[3 * h :]
-            cell += z[:h]
-            cell *= 0.5
-            np.tanh(cell, out=given[:h])
-            given[:h] *= z[2 * h : 3 * h]
-            s[k] += np.matmul(out, given[:h], out=part)
+            np.maximum(gates, 0, out=gates)
+            np.minimum(gates, 1, out=gates)
+            np.tanh(candidate, out=candidate)
+            cell *= keep
+            enter *= candidate
+            cell += enter
+            np.tanh(cell, out=state)
+            state *= leave
+            s[k] += np.matmul(out, state, out=part)
 
     def _scores(self, x: np.ndarray) -> np.ndarray:
         s = np.empty((x.shape[1], LABELS, x.shape[0]), np.float32)
         s[:] = self.out_bias[:, None]
+        places = np.ascontiguousarray(x.T, np.intp)
         for d in "fb":
-            self._run(x, d, s)
+            self._run(places, d, s)
         return s
 
     def scores(self, x: np.ndarray) -> np.ndarray:

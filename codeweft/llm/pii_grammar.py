@@ -1,7 +1,7 @@
 """The exact form of each kind of personal information.
 
-snap() gives the exact bounds of a case that the model has pointed at, or None where its form is not that of the kind. A name
-with words in lower case has no form of its own to search for: any words may be one where the model has marked them.
+snap() gives the exact bounds of a case that the model has pointed at. Where none of the exact forms is there, the model's own
+stretch stands, brought to whole words, if it has what its kind can't be without (a sign for `at`, enough digits, two words).
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ NAME = re.compile(
     rf"(?<![\w@./-])(?!(?:The|Die|Das|Der|Den|Ein|Eine|Les?|La|Los|Las|Im|Do|Did|If|As|In|On|At|No|Any|Thanks|Reported|Author|Gemeldet|Merci|Danke|Gracias|According|Copyright) )(?:{_FAMILY}, {_NAME_WORD}(?: {_INITIAL})?(?![\w@])|{_FAMILY}, {_INITIAL}|{_NAME_WORD}(?:-{_NAME_WORD})?(?: {_INITIAL}){{0,2}} {_FAMILY}(?![\w@/])|(?:{_INITIAL} ?){{1,2}}{_FAMILY}(?![\w@/]))"
 )
 _ANY = rf"[{_U}{_L}][{_U}{_L}{_Q}]*"
-#: Words of any case; how a name with words in lower case looks once its bounds are known.
-LOW_NAME = re.compile(rf"(?![{_U}])(?:{_ANY}(?:-{_ANY})*, )?{_ANY}(?:-{_ANY})*(?: {_ANY}(?:-{_ANY})*| {_INITIAL}){{0,4}} {_ANY}(?:-{_ANY})*|{_ANY}(?:-{_ANY})*, {_ANY}(?:-{_ANY})*|{_ANY}(?:-{_ANY})*(?: {_INITIAL})* (?![{_U}]){_ANY}(?:-{_ANY})*|[{_L}]\.(?: ?[{_L}]\.)? ?{_ANY}(?:-{_ANY})*")
+_PART = rf"(?:{_ANY}(?:-{_ANY})*|[{_U}{_L}]\.)"
+#: Words of any case; how a name of no exact form looks once its bounds are known.
+ANY_NAME = re.compile(rf"(?:[{_U}{_L}]\. ?){{1,2}}(?:{_PART} ){{0,3}}{_ANY}(?:-{_ANY})*|{_PART}(?: {_PART}){{1,4}}|{_PART}(?: {_PART}){{0,3}}, {_PART}(?: {_PART}){{0,2}}")
 _IN_WORD = re.compile(rf"[{_U}{_L}{_Q}-]")
 #: German says by whom with a word that is also part of names.
 _BY = re.compile(r"(?i)(?:gemeldet|geschrieben|gefunden|berichtet|verfasst|erstellt|genehmigt|freigegeben) $")
@@ -74,7 +75,8 @@ def _phone_ok(text: str, m: re.Match) -> bool:
     # a number of three parts whose first two are the same counts something
     if (parts := re.fullmatch(r"(\d{3})[-.](\d{3})[-.]\d{4}", s)) and parts[1] == parts[2]:
         return False
-    return not ID_LABEL.search(text[max(0, m.start() - 30) : m.start()])
+    # a label of another kind of number, on the same line
+    return not ID_LABEL.search(text[max(0, m.start() - 30) : m.start()].rpartition("\n")[2])
 
 
 def candidates(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -104,17 +106,42 @@ def candidates(kind: str, text: str, start: int, end: int) -> list[tuple[int, in
             s = m.start()
             skip = t.end() if (t := _TITLE.match(m[0])) else 4 if m[0].lower().startswith("von ") and _BY.search(text, max(0, s - 16), s) else 0
             if skip:
-                s += skip
-                if (again := NAME.match(text, s)) is None:
-                    continue
-                out.append((s, again.end()))
+                if (again := NAME.match(text, s + skip)) is not None:
+                    out.append((s + skip, again.end()))
+                elif m[0].startswith("M. "):  # an initial, if only a family name follows
+                    out.append((s, m.end()))
             else:
                 out.append((s, m.end()))
     return [(s, e) for s, e in out if s < end and start < e]
 
 
-def _low_name(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The whole words of a stretch, if they may be a name with words in lower case."""
+#: What a stretch that the model has marked must have for its kind, where it has none of the exact forms.
+_OWN = {
+    "email": re.compile(rf"(?is)(?=[^\n]*[^\W_])[^\s@][^\n@]*{_AT}[^\n@]*[A-Za-z]"),
+    "phone": re.compile(r"(?=(?:\D*\d){7,15}\D*\Z)[+(\d][\d ().,/-]*\d"),
+    "id_number": re.compile(r"(?=(?:\D*\d){5})[A-Z\d][A-Z\d ./-]{4,24}[A-Z\d]"),
+    "address": re.compile(rf"(?s)(?=.*\d)(?=.*\b[{_U}][{_L}]+.*\b[{_U}][{_L}]+)[\w(].{{10,}}[\w)]"),
+}
+
+
+def _own(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The stretch itself, at the bounds of its words, if it can be of its kind."""
+    if kind == "name":
+        return _own_name(text, start, end)
+    while start < end and not (text[start].isalnum() or text[start] in "+("):
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    if start == end or text[start].isalnum() and start and (text[start - 1].isalnum() or text[start - 1] in "_-/") or text[end : end + 1].isalnum() or text[end : end + 1] in ("_", "-"):
+        return None
+    s = text[start:end]
+    if _OWN[kind].fullmatch(s) is None or kind == "email" and (_NO_MAILBOX.match(s) or text[end : end + 1] == ":"):
+        return None
+    return start, end
+
+
+def _own_name(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The whole words of a stretch, if they may be a name: any words may be one where the model has marked them."""
     while start < end and not text[start].isalpha():
         start += 1
     while start < end and not (text[end - 1].isalpha() or text[end - 1] == "."):
@@ -125,10 +152,10 @@ def _low_name(text: str, start: int, end: int) -> tuple[int, int] | None:
         start -= 1
     while end < high and _IN_WORD.match(text[end]):
         end += 1
-    if (t := _TITLE.match(text[start:end])) is not None:
+    if (t := _TITLE.match(text[start:end])) is not None and " " in text[start + t.end() : end]:
         start += t.end()
     s = text[start:end]
-    if LOW_NAME.fullmatch(s) is None or not any(w[0].islower() for w in re.findall(r"[^\W\d_]{3,}", s)):
+    if ANY_NAME.fullmatch(s) is None or re.search(r"\. +[a-z]", s):
         return None
     return None if re.match(r"[\w@./-]", text[start - 1 : start]) or re.match(r"[\w@/]", text[end : end + 1]) else (start, end)
 
@@ -142,4 +169,4 @@ def snap(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
             best, most = (s, e), shared
     if best and 2 * most >= min(end - start, best[1] - best[0]):
         return best
-    return _low_name(text, start, end) if kind == "name" else None
+    return _own(kind, text, start, end)

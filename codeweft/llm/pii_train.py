@@ -3,8 +3,9 @@
 The labelled spans are made from a bounded sample of documents (DOCUMENTS rows at most): the exact forms of pii_grammar.py,
 and for names the forms with a given name that signs a commit or review in the sample, in lower case too. Part of the names
 and digits are then made anew at random and part of the forms put in rarer ones (names in lower case, other prefixes, other
-signs), so that the model learns forms and surroundings and not the sample's names. A fifth of the documents is held out; its
-accuracy by spans is printed, names in lower case also by themselves.
+signs), so that the model learns forms and surroundings and not the sample's names. Into most texts lines are put whose labels
+no form made (pii_made.py). A fifth of the documents is held out; its accuracy by spans is printed, names in lower case also by
+themselves, and that on made lines put into it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import duckdb
 import numpy as np
 
 from . import pii_grammar as G
-from .pii import LABELS, SYMBOLS, WEIGHTS, Finder, Model, symbols, windows
+from . import pii_made as made
+from .pii import LABELS, SLOPE, SYMBOLS, WEIGHTS, Finder, Model, symbols, windows
 
 #: Bound of the labelled sample.
 DOCUMENTS = 20_000
@@ -68,11 +70,8 @@ def spans(text: str, given: set[str]) -> list[tuple[int, int, int]]:
     return kept
 
 
-_SYLLABLES = "ba be bo ca co da de du el fa fi ga go ha he in ja ka ki la le li lo ma me mi mo na ne no or pa po ra re ri ro sa se si so ta te ti to ul va ve vi wa we ya za zo ner son sen ski man berg ton ley field wood worth stein mann ova ic".split()
-
-
 def _word(r: random.Random, like: str) -> str:
-    w = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 4)))
+    w = made.word(r)
     return w.upper() if like.isupper() and len(like) > 1 else w.capitalize() if like[0].isupper() else w
 
 
@@ -136,6 +135,26 @@ def changed(text: str, own: list[tuple[int, int, int]], r: random.Random) -> tup
     return "".join(parts), out
 
 
+def with_lines(text: str, own: list[tuple[int, int, int]], r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with one to four made lines between its own; a labelled span is never broken."""
+    ends = [i + 1 for i, c in enumerate(text) if c == "\n" and not any(s <= i < e for s, e, _ in own)] + [len(text)]
+    parts, out, at, n, k = [], [], 0, 0, 0
+    for end in sorted(r.choices(ends, k=r.randint(1, 4))):
+        parts.append(text[at:end])
+        while k < len(own) and own[k][0] < end:
+            out.append((own[k][0] + n, own[k][1] + n, own[k][2]))
+            k += 1
+        line, pieces = made.line(r)
+        line = ("\n" if end == len(text) and text and text[-1] != "\n" else "") + line + "\n"
+        first = end + n + line.startswith("\n")
+        out += [(first + s, first + e, kind) for s, e, kind in pieces]
+        parts.append(line)
+        n += len(line)
+        at = end
+    parts.append(text[at:])
+    return "".join(parts), out + [(s + n, e + n, kind) for s, e, kind in own[k:]]
+
+
 def examples(texts: list[str], given: set[str], r: random.Random | None) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and labels (-1 beyond the end) of the windows of texts."""
     xs, ys = [], []
@@ -143,6 +162,8 @@ def examples(texts: list[str], given: set[str], r: random.Random | None) -> tupl
         own = spans(t, given)
         if r is not None and r.random() < 0.5:
             t, own = changed(t, own, r)
+        if r is not None and r.random() < 0.6:
+            t, own = with_lines(t, own, r)
         label = np.zeros(len(t), np.int8)
         for s, e, k in own:
             label[s:e] = 2 + 2 * k
@@ -172,8 +193,12 @@ def start_weights(r: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _gate(x: np.ndarray) -> np.ndarray:
+    return np.clip(SLOPE * x + 0.5, 0, 1)
+
+
+def _slope(gate: np.ndarray) -> np.ndarray:
+    return SLOPE * ((gate > 0) & (gate < 1))
 
 
 def _forward(w: dict, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
@@ -183,7 +208,7 @@ def _forward(w: dict, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
     out, kept = np.empty((t, n, HIDDEN), np.float32), [None] * t
     for k in range(t) if d == "f" else range(t - 1, -1, -1):
         z = table[x[:, k]] + state @ w[f"rec_{d}"]
-        gates, cand = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
+        gates, cand = _gate(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
         i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         before_state, before_cell = state, cell
         cell = f * cell + i * cand
@@ -203,7 +228,7 @@ def _backward(w: dict, g: dict, x: np.ndarray, d: str, grad: np.ndarray, kept: l
         i, f, o, cand, th, before_state, before_cell = kept[k]
         ds = ds + grad[k]
         dc = dc + ds * o * (1 - th * th)
-        dz = np.concatenate([dc * cand * i * (1 - i), dc * before_cell * f * (1 - f), ds * th * o * (1 - o), dc * i * (1 - cand * cand)], axis=1)
+        dz = np.concatenate([dc * cand * _slope(i), dc * before_cell * _slope(f), ds * th * _slope(o), dc * i * (1 - cand * cand)], axis=1)
         drec += before_state.T @ dz
         one = np.zeros((n, SYMBOLS), np.float32)
         one[np.arange(n), x[:, k]] = 1
@@ -319,6 +344,18 @@ def accuracy(finder: Finder, texts: list[str], given: set[str]) -> dict[str, tup
     return {k: tuple(v) for k, v in out.items()}
 
 
+def made_accuracy(finder: Finder, texts: list[str], given: set[str], seed: int = 99) -> dict[str, tuple[int, int]]:
+    """By kind: made pieces found, of those put into the texts, by equal bounds; no exact form has a say in what was put there."""
+    r = random.Random(seed)
+    rows = [with_lines(t, [], r) for t in texts]
+    out = {k: [0, 0] for k in G.KINDS}
+    for (_, own), found in zip(rows, finder.found([t for t, _ in rows])):
+        for s, e, k in own:
+            out[G.KINDS[k]][0] += (s, e, G.KINDS[k]) in found
+            out[G.KINDS[k]][1] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
 def sample(sf_dir: str) -> list[tuple[int, str]]:
     path = Path(sf_dir, "documents.parquet")
     return duckdb.sql(f"select doc_id, text from '{path}{'/*.parquet' if path.is_dir() else ''}' where trim(text) != '' order by hash(doc_id) limit {DOCUMENTS}").fetchall()
@@ -359,7 +396,8 @@ def main(sf_dir: str, seconds: float) -> None:
     rows = np.concatenate([np.flatnonzero(keep), np.repeat(np.flatnonzero(number), 2)])
     w = train(x[rows], y[rows], seconds, processes=processes, **({"start": _kept(), "rate_0": RATE / 3} if "continue" in sys.argv else {}))
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in w.items()})
-    print(accuracy(Finder(Model(w)), held, given), Path(WEIGHTS).stat().st_size)
+    finder = Finder(Model(w))
+    print(accuracy(finder, held, given), made_accuracy(finder, held, given), Path(WEIGHTS).stat().st_size)
 
 
 if __name__ == "__main__":
