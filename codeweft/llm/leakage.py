@@ -1,14 +1,17 @@
 """Evaluation passages inside training documents.
 
 Both sides are brought to plain words: compatibility forms, accents, look-alike letters, invisible characters, markup, case,
-punctuation and line breaks inside words no longer matter. Each test item is split into pieces of two words. A passage of
-two fifths of the item (w words) holds (w-1)//2 whole pieces, and each error spoils one at most; with the budget of ERRORS * w
-errors as many pieces as are left over stand unchanged, in the item's order, so exact piece hits find every candidate. A
-candidate is verified by Myers' bit-parallel edit distance over words: the part of the item that the ordered hits span,
-widened to two fifths of it, against the passage around them (after a common subsequence, bit-parallel too, has ruled out
-those that can't be that near). A word that no item has counts as the item's word from which it differs by a letter or two.
-
-Test items are a stated query set: they reach the tasks in blocks of BLOCK items, each block against all documents.
+punctuation and line breaks inside words no longer matter. What is looked for is a stretch of two fifths of an item (L words)
+with a budget of ERRORS * L errors. Wherever in the item the stretch begins, it is split into budget-plus-one pieces of
+q = L / (budget + 1) words; an error spoils one piece at most, so one at least stands unchanged in the document. The pieces of
+all stretches are the item's runs of q words, and exact hits of these find every candidate. Of the L - q + 1 runs within a
+stretch each error spoils q at most; so only places are kept at which as many as are left over stand, in the item's order.
+They are verified by Myers' bit-parallel edit distance over words, for every stretch with hits enough (after a common
+subsequence, bit-parallel too, has ruled out those that can't be that near). A word that no item has counts as the item's word
+from which it differs by a letter or two.
+
+Test items are a stated query set: they reach the tasks in blocks of bounded numbers and bytes, one block after the other, each
+against all documents; only the block at work is on the driver and in the tasks.
 
 Defined results: null, empty and blank texts hold nothing; an item without words is found nowhere; items that share a
 passage are each found; repeated rows of documents or items give one row per pair of ids. A null id gives no row.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Part of an item's words that makes a case.
 SHARE = 0.4
 #: Part of the compared words that may differ.
 ERRORS = 0.4
-BLOCK = 20_000
+#: Items of a block, and characters of their texts, on average.
+BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 
 # fixed values: letters of other scripts that look like Latin ones
 _ALIKE = str.maketrans("аеорсухіјѕԁһӏвкмнтАЕОРСУХІЈЅВКМНТαονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlbkmhtaeopcyxijsbkmhtaovpabezhikmnoptyx")
@@ -140,16 +147,17 @@ class Items:
             for w in ws:
                 self.number.setdefault(w, len(self.number) + 1)
         self.base = len(self.number) + 1
+        #: words of the stretch, its budget of errors, words of a piece, and runs of a piece's length that must be left
+        self.least = [max(1, -(-2 * len(ws) // 5)) if len(ws) > 5 else len(ws) for ws in self.words]
+        self.budget = [int(ERRORS * n) for n in self.least]
+        self.piece = [1 if n < 2 * (k + 1) else 2 for n, k in zip(self.least, self.budget)]
+        self.left = [max(1, n - q + 1 - k * q) for n, k, q in zip(self.least, self.budget, self.piece)]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, ws in enumerate(self.words):
             n = [self.number[w] for w in ws]
-            for at in range(0, len(n) - 1, 2):
-                places[n[at] * self.base + n[at + 1]].append((k, at))
-            if len(n) == 1:
-                places[n[0] * self.base].append((k, 0))
-            elif len(n) % 2:
-                places[n[-2] * self.base + n[-1]].append((k, len(n) - 2))
-        self.single = {k for k, ws in enumerate(self.words) if len(ws) == 1}
+            for at in range(len(n) - self.piece[k] + 1):
+                places[n[at] * self.base + (n[at + 1] if self.piece[k] == 2 else 0)].append((k, at))
+        self.single = any(q == 1 and ws for q, ws in zip(self.piece, self.words))
         self.keys = np.array(sorted(places), np.int64)
         self.places = [places[int(k)] for k in self.keys]
         self.alike: dict[str, list[str]] = {}
@@ -158,8 +166,6 @@ class Items:
         for w in self.number:
             for r in _remainders(w):
                 self.remainders[r].append(w)
-        self.least = [max(1, -(-2 * len(ws) // 5)) if len(ws) > 5 else len(ws) for ws in self.words]
-        self.left = [max(1, (w - 1) // 2 - int(ERRORS * w)) for w in self.least]
         self.bits: dict[int, dict[str, int]] = {}
 
     def mask(self, k: int, word: str) -> int:
@@ -183,35 +189,42 @@ class Items:
 
     def verified(self, k: int, words: list[str], hits: list[tuple[int, int]]) -> bool:
         """hits: (place in the document, place in the item), one candidate's, by place in the document."""
-        n = len(self.words[k])
-        group: list[tuple[int, int]] = []
-        for hit in [*hits, (1 << 60, 0)]:
-            if group and hit[0] - group[-1][0] > n + 8:
-                if len(group) >= self.left[k] and self._passage(k, words, group):
+        reach, left = self.least[k] + self.budget[k], self.left[k]
+        low, start, upto = 0, None, 0
+        for high in range(len(hits)):
+            while hits[high][0] - hits[low][0] > reach:
+                low += 1
+            if high - low + 1 < left:
+                continue
+            # stretches of the document with hits enough; those that overlap are one
+            if start is not None and low >= upto:
+                if self._passage(k, words, hits[start:upto]):
                     return True
-                group = []
-            group.append(hit)
-        return False
+                start = None
+            start = low if start is None else start
+            upto = high + 1
+        return start is not None and self._passage(k, words, hits[start:upto])
 
     def _passage(self, k: int, words: list[str], hits: list[tuple[int, int]]) -> bool:
-        n, least = len(self.words[k]), self.least[k]
-        chain = _ascending(hits)
-        if len(chain) < self.left[k]:
+        n, size, budget, left = len(self.words[k]), self.least[k], self.budget[k], self.left[k]
+        if _longest_ascending(hits) < left:
+            return False
+        there = np.zeros(n + 1, np.int64)
+        there[[p + 1 for p in {p for _, p in hits}]] = 1
+        upto = np.cumsum(there)
+        # runs that begin within the stretch and end in it
+        inside = upto[size - self.piece[k] + 1 :][: n - size + 1] - upto[: n - size + 1]
+        starts = np.flatnonzero(inside >= left).tolist()
+        if not starts:
             return False
-        low, high = chain[0][1], min(n, chain[-1][1] + 2)
-        first, last = max(0, chain[0][0] - least - 8), chain[-1][0] + 2 + least + 8
+        first, last = max(0, hits[0][0] - size - budget), hits[-1][0] + 2 + size + budget
         masks = [self.mask(k, w) for w in words[first:last]]
-        if common(n, masks) < least - ERRORS * least:
+        if common(n, masks) < size - budget:
             return False
-        if high - low >= least:
-            spans = [(low, high)]
-            # inside a longer span the best stretch of two fifths will do
-            spans += [(s, s + least) for s in range(low, high - least + 1, 4)]
-        else:
-            spans = [(s, s + least) for s in range(max(0, high - least), min(low, n - least) + 1)]
-        for s, e in spans:
-            full = (1 << (e - s)) - 1
-            if distance(e - s, [(m >> s) & full for m in masks]) <= ERRORS * (e - s):
+        full = (1 << size) - 1
+        for s in sorted(starts, key=lambda s: -inside[s]):
+            own = [(m >> s) & full for m in masks]
+            if common(size, own) >= size - budget and distance(size, own) <= budget:
                 return True
         return False
 
@@ -227,52 +240,33 @@ class Items:
         out: list[list[int]] = [[] for _ in texts]
         if not len(self.keys):
             return out
-        pairs = np.where((flat[:-1] > 0) & (flat[1:] > 0), flat[:-1] * self.base + flat[1:], -1)
-        if self.single:
-            pairs_single = flat[:-1] * self.base
-        where = np.searchsorted(self.keys, pairs)
-        where[where == len(self.keys)] = 0
-        hit = np.nonzero(self.keys[where] == pairs)[0]
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        doc = np.searchsorted(starts, hit, "right") - 1
+        here, after = flat[:-1], flat[1:]
         by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for x, d in zip(hit.tolist(), doc.tolist()):
-            for k, place in self.places[where[x]]:
-                by[(d, k)].append((x - int(starts[d]), place))
-        if self.single:
-            where = np.searchsorted(self.keys, pairs_single)
+        for asked in [np.where((here > 0) & (after > 0), here * self.base + after, -1)] + ([np.where(here > 0, here * self.base, -1)] if self.single else []):
+            where = np.searchsorted(self.keys, asked)
             where[where == len(self.keys)] = 0
-            for x in np.nonzero((self.keys[where] == pairs_single) & (flat[:-1] > 0))[0].tolist():
-                d = int(np.searchsorted(starts, x, "right")) - 1
-                for k, _ in self.places[where[x]]:
-                    if k in self.single and k not in out[d]:
-                        out[d].append(k)
+            hit = np.nonzero(self.keys[where] == asked)[0]
+            doc = np.searchsorted(starts, hit, "right") - 1
+            for x, d, w, s in zip(hit.tolist(), doc.tolist(), where[hit].tolist(), starts[doc].tolist()):
+                for k, place in self.places[w]:
+                    by[(d, k)].append((x - s, place))
         for (d, k), hits in by.items():
-            if len(hits) >= self.left[k] and len({p for _, p in hits}) >= self.left[k] and self.verified(k, words[d], hits):
+            if len(hits) >= self.left[k] and self.verified(k, words[d], hits):
                 out[d].append(k)
         return out
 
 
-def _ascending(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A longest chain of hits that ascends in both places."""
-    from bisect import bisect_left
-
+def _longest_ascending(hits: list[tuple[int, int]]) -> int:
+    """Length of a longest chain of hits that ascends in both places; of hits at one place of the document one counts."""
     tails: list[int] = []
-    ends: list[int] = []
-    back = [-1] * len(hits)
-    for i, (_, p) in enumerate(hits):
+    for _, p in sorted(hits, key=lambda h: (h[0], -h[1])):
         j = bisect_left(tails, p)
         if j == len(tails):
             tails.append(p)
-            ends.append(i)
         else:
-            tails[j], ends[j] = p, i
-        back[i] = ends[j - 1] if j else -1
-    chain, i = [], ends[-1]
-    while i >= 0:
-        chain.append(hits[i])
-        i = back[i]
-    return chain[::-1]
+            tails[j] = p
+    return len(tails)
 
 
 _BLOCKS: dict[int, Items] = {}
@@ -283,8 +277,9 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     texts = items.where("item_id is not null and text is not null").select("item_id", "text")
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    parts = []
-    blocks = max(1, -(-texts.count() // BLOCK))
+    seen = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(1, -(-seen["n"] // BLOCK), -(-(seen["chars"] or 0) // BLOCK_CHARS))
+    out = None
     for b in range(blocks):
         block = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         own = sorted({(r["item_id"], r["text"]) for r in block.collect()})
@@ -301,8 +296,10 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
                 pairs = [(d, ready.ids[k]) for d, ks in zip(docs, out) for k in ks]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([k for _, k in pairs], pa.int64())], names=["doc_id", "item_id"])
 
-        parts.append(rows.mapInArrow(run, "doc_id bigint, item_id bigint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        found = rows.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
+        if blocks == 1:
+            return found
+        found = cut(found)
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -64,6 +64,31 @@ def test_none():
     assert not held("", w) and not held(None, w)
 
 
+def test_short_items_within_the_budget():
+    for n in (1, 2, 5, 6, 8, 10, 12, 15, 20, 25, 31):
+        for seed in range(60):
+            r = random.Random(seed * 31 + n)
+            w = [r.choice(WORDS) + r.choice(WORDS) + r.choice("abcdefgh") for _ in range(n)]
+            size = -(-2 * n // 5) if n > 5 else n
+            budget, s = int(0.4 * size), r.randint(0, n - size)
+            part = w[s : s + size]
+            spread = [int((i + 0.5) * size / budget) for i in range(budget)] if seed % 2 else r.sample(range(size), budget)
+            for i in spread:
+                part[i] = f"qq{i}qq"
+            assert held(" ".join(["zz"] * 50 + part + ["yy"] * 50), w), (n, seed)
+
+
+def test_blocks(spark, monkeypatch):
+    import codeweft.llm.leakage as L
+
+    monkeypatch.setattr(L, "BLOCK", 7)
+    all_ = [item(seed) for seed in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(w[5:40])) for i, w in enumerate(all_)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(100 + i, " ".join(w)) for i, w in enumerate(all_)], "item_id bigint, text string")
+    got = {tuple(r) for r in leaked_items(docs, items).collect()}
+    assert {(i, 100 + i) for i in range(30)} <= got and len(got) < 40
+
+
 def test_frames(spark):
     w = " ".join(item())
     docs = spark.createDataFrame([(1, w, "x"), (1, w, "x"), (2, None, "x"), (3, "", "x"), (None, w, "x"), (4, "word " * 50_000 + w, "x")], "doc_id bigint, text string, item_id string")
