@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import dir_name, top_dir
 from ..session import cut
-from .components import connected_components, levels
+from .components import connected_components, depths
 
 #: Relations that are followed from symbol to symbol.
 RELATIONS = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS")
@@ -121,7 +121,9 @@ def processes(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     heads = members.groupBy("component").agg(F.min(F.when(F.col("in_degree") == 0, F.col("id"))).alias("free"), F.min("id").alias("least"), F.count(F.lit(1)).alias("symbol_count"))
     heads = heads.select("component", F.coalesce("free", "least").alias("entry_symbol_id"), "symbol_count")
     calls = edges.where("rel_type = 'CALLS' and source_id != target_id").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    deep = levels(calls, heads.select(F.col("component").alias("root"), F.col("entry_symbol_id").alias("id"))).groupBy(F.col("root").alias("component")).agg((F.max("depth") + 1).cast("bigint").alias("step_count"))
+    calls = calls.join(members.select(F.col("id").alias("src"), F.col("component").alias("root")), "src")
+    heads = cut(heads)
+    deep = depths(calls, heads.select(F.col("component").alias("root"), F.col("entry_symbol_id").alias("id"))).select(F.col("root").alias("component"), (F.col("depth") + 1).cast("bigint").alias("step_count"))
     return _numbered(heads.join(deep, "component"), "component", "process_").select("id", "entry_symbol_id", "symbol_count", "step_count", "component")
 
 

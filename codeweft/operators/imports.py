@@ -48,25 +48,25 @@ def csharp_using(line: Column) -> Column:
     return F.when(usable & body.rlike(r"^[A-Za-z0-9_.:<>]*$"), body)
 
 
-def import_specifiers(files: DataFrame) -> DataFrame:
-    """(path, language, line_no, specifier). files: path, content, language."""
-    rows = lines(files.where(F.col("language").isin(*ENDINGS)), "path", "language").withColumn("line", strip(F.col("line"))).where((F.col("line") != "") & ~F.col("line").startswith("//"))
+def import_specifiers(files: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., path, language, line_no, specifier). files: keep..., path, content, language; a file that comes twice counts once."""
+    rows = lines(files.where(F.col("language").isin(*ENDINGS)), *keep, "path", "language").withColumn("line", strip(F.col("line"))).where((F.col("line") != "") & ~F.col("line").startswith("//"))
     line, language = F.col("line"), F.col("language")
     listed = (
         F.when(language.isin("typescript", "javascript"), F.array(js_import(line)))
         .when(language == "php", php_uses(line))
         .when(language == "csharp", F.array(csharp_using(line)))
     )
-    plain = rows.where(language != "go").select("path", "language", "line_no", F.explode(listed).alias("specifier"))
+    plain = rows.where(language != "go").select(*keep, "path", "language", "line_no", F.posexplode(listed).alias("nth", "specifier")).where("specifier is not null").distinct().drop("nth")
     # Go: lines within an import block; the last line that opened or closed one decides
     rest = left_strip(F.regexp_replace(line, "^(import)+", ""))
     opens = line.startswith("import") & rest.startswith("(")
-    go = rows.where((language == "go") & (opens | line.startswith(")") | line.rlike("['\"]")))
+    go = rows.where((language == "go") & (opens | line.startswith(")") | line.rlike("['\"]"))).distinct()
     event = F.when(opens, 1).when(line.startswith(")"), 0)
-    earlier = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keep, "path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     go = go.withColumn("inside", F.coalesce(F.last(event, ignorenulls=True).over(earlier), F.lit(0)) == 1)
     spec = F.when(F.col("inside"), F.when(~line.startswith(")"), quoted(line))).otherwise(F.when(line.startswith("import") & ~rest.startswith("("), quoted(rest)))
-    return plain.unionByName(go.select("path", "language", "line_no", spec.alias("specifier"))).where("specifier is not null")
+    return plain.unionByName(go.select(*keep, "path", "language", "line_no", spec.alias("specifier"))).where("specifier is not null")
 
 
 def suffix_index(paths: DataFrame) -> DataFrame:
@@ -107,6 +107,7 @@ class ProjectConfig:
     aliases: tuple[tuple[str, str], ...] = ()
     go_module: str | None = None
     psr4: tuple[tuple[str, str], ...] = ()
+    #: (folder, root namespace)
     csharp: tuple[tuple[str, str], ...] = ()
 
 

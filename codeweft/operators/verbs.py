@@ -70,6 +70,8 @@ def impact(nodes: DataFrame, edges: DataFrame, start_id: str, upstream: bool = T
     near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
     hops = filtered_edges(edges, relations, min_confidence).select(F.col(near).alias("near"), F.col(far).alias("far"), F.col("id").alias("edge_id"), "rel_type", "confidence")
     allowed = nodes.where(is_symbol(F.col("label"))).where(F.lit(True) if tests else ~F.coalesce(is_test_path(F.col("file_path")), F.lit(False))).select("id", "name", "label", "file_path")
+    # every depth reads both; what lies under them is done once
+    hops, allowed = cut(hops), cut(allowed)
     spark = nodes.sparkSession
     front = spark.createDataFrame([(start_id, 0)], "id string, depth int")
     seen, found = front.select("id"), None
@@ -130,7 +132,7 @@ def rename_edits(files: DataFrame, old: str, new: str) -> DataFrame:
 
     pattern = identifier_pattern(old)
     rows = lines(files.where(F.col("content").contains(old)), "path").where(F.col("line").rlike(pattern))
-    return rows.select("path", "line_no", strip(F.col("line")).alias("old_text"), strip(F.regexp_replace("line", pattern, re.sub(r"([\\$])", r"\\\1", new))).alias("new_text"))
+    return rows.distinct().select("path", "line_no", strip(F.col("line")).alias("old_text"), strip(F.regexp_replace("line", pattern, re.sub(r"([\\$])", r"\\\1", new))).alias("new_text"))
 
 
 def rename_plan(files: DataFrame, nodes: DataFrame, edges: DataFrame, symbol_id: str, new: str) -> DataFrame:
@@ -145,11 +147,12 @@ def rename_plan(files: DataFrame, nodes: DataFrame, edges: DataFrame, symbol_id:
 
 
 def snippets(nodes: DataFrame, files: DataFrame, n_lines: int = 25) -> DataFrame:
-    """(id, snippet): up to 25 lines from three above a symbol's first."""
+    """(id, snippet): up to 25 lines from three above a symbol's first. Content is shuffled here, once, to meet the symbols."""
     parts = F.split("content", r"\r?\n")
     first = F.greatest(F.coalesce("start_line", F.lit(1)) - 3, F.lit(0)).cast("int")
-    both = nodes.where(is_symbol(F.col("label"))).select("id", "file_path", "start_line").join(files.select(F.col("path").alias("file_path"), "content").dropDuplicates(["file_path"]), "file_path")
-    return both.select("id", F.array_join(F.slice(parts, F.least(first, F.size(parts)) + 1, F.lit(n_lines)), "\n").alias("snippet"))
+    both = nodes.where(is_symbol(F.col("label"))).select("id", "file_path", "start_line").join(files.select(F.col("path").alias("file_path"), "content"), "file_path")
+    # a file that comes twice gives its snippets once
+    return both.select("id", F.array_join(F.slice(parts, F.least(first, F.size(parts)) + 1, F.lit(n_lines)), "\n").alias("snippet")).distinct()
 
 
 def build_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:

@@ -61,9 +61,9 @@ def _scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    """(repo, path, content, language), each path once, with separators in the normal form."""
+    """(repo, path, content, language) with separators in the normal form, as it lies; files that come twice are told apart by what is extracted."""
     rows = table(spark, d, "code_files").where("content is not null").select("repo", F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "content")
-    return rows.groupBy("repo", "path").agg(F.min("content").alias("content")).withColumn("language", scan.language_of(F.col("path")))
+    return rows.withColumn("language", scan.language_of(F.col("path")))
 
 
 _CODE_SQL = f"code as (select repo, replace(path, '\\', '/') as path, min(content) as content, {_language_sql("replace(path, '\\', '/')")} as language from code_files where content is not null group by 1, 2)"
@@ -302,14 +302,13 @@ def jsn_get(spark, d):
 
 
 def _repo_paths(spark, d):
-    return _code(spark, d).select("repo", "path")
+    return _code(spark, d).select("repo", "path").distinct()
 
 
 def _imports(spark, d):
     code = _code(spark, d)
-    paths = cut(code.select("repo", "path"))
-    spec = I.import_specifiers(code).join(paths, "path")
-    return cut(I.resolve_imports(spec, paths))
+    paths = cut(code.select("repo", "path").distinct())
+    return cut(I.resolve_imports(I.import_specifiers(code, "repo"), paths))
 
 
 @q("join_import_resolve")
@@ -327,8 +326,8 @@ def join_import_resolve(spark, d):
 )
 def join_import_relative(spark, d):
     code = _code(spark, d)
-    spec = I.import_specifiers(code.where("language in ('typescript', 'javascript')")).where("specifier like '.%'").join(code.select("path", "repo"), "path")
-    return I.resolve_imports(spec, code.select("repo", "path"))
+    spec = I.import_specifiers(code.where("language in ('typescript', 'javascript')"), "repo").where("specifier like '.%'")
+    return I.resolve_imports(spec, code.select("repo", "path").distinct())
 
 
 @q("join_import_dir")
@@ -343,7 +342,7 @@ def join_import_dir(spark, d):
 )
 def join_caller_asof(spark, d):
     code = _code(spark, d)
-    at = lines(code.where("language in ('typescript', 'javascript')"), "path").where("contains(line, 'return')").select("path", "line_no", F.lit("return").alias("callee"))
+    at = lines(code.where("language in ('typescript', 'javascript')"), "path").where("contains(line, 'return')").select("path", "line_no", F.lit("return").alias("callee")).distinct()
     return C.callers(at, S.symbols(code)).select("path", "line_no", "caller_id")
 
 
