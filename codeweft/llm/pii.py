@@ -27,13 +27,17 @@ from .pii_grammar import KINDS, snap
 
 WEIGHTS = str(Path(__file__).with_name("pii_model.npz"))
 #: Characters of a window and between the starts of two that overlap.
-WINDOW, STRIDE = 768, 728
+WINDOW, STRIDE = 1536, 1496
 BATCH = 512
 #: 0 outside, then beginning and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
+#: Labels that may follow any other, beginnings, and insides.
+FREE, BEGIN, INSIDE = [0, *range(1, LABELS, 2)], list(range(1, LABELS, 2)), list(range(2, LABELS, 2))
 SYMBOLS = 140
 #: How steeply the gates open.
 SLOPE = 0.2
+#: What a shut gate still lets through, so that no state fades to numbers that a processor is slow with.
+NEARLY_SHUT = 1e-6
 
 
 def _symbol_table() -> np.ndarray:
@@ -46,6 +50,8 @@ def _symbol_table() -> np.ndarray:
 
 
 _TABLE = _symbol_table()
+#: Without the checks of numpy.clip, which take as long as small arrays do.
+_clip = np.clip if not hasattr(np, "_core") else np._core.umath.clip
 
 
 def symbols(text: str) -> np.ndarray:
@@ -63,7 +69,7 @@ class Model:
     """Weights: embed (SYMBOLS, E); per direction in (E, 4H), rec (H, 4H), bias (4H); out (2H, LABELS), out_bias; trans (LABELS, LABELS), first (LABELS).
 
     Gates, in the order input, forget, output, open by a straight line, clipped: SLOPE * x + 1/2 within 0 and 1. The candidate and
-    the state go through tanh.
+    the state are clipped at -1 and 1; nothing in the recurrence is slower than a product, on any processor.
     """
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
@@ -72,9 +78,15 @@ class Model:
         scale = np.concatenate([np.full(3 * h, SLOPE, np.float32), np.ones(h, np.float32)])
         half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.zeros(h, np.float32)])
         self.embed = np.ascontiguousarray(np.concatenate([f["embed"], np.ones((SYMBOLS, 1), np.float32)], axis=1).T)
-        self.weights = {d: np.ascontiguousarray(np.concatenate([f[f"rec_{d}"] * scale, f[f"in_{d}"] * scale, (f[f"bias_{d}"] * scale + half)[None]]).T) for d in "fb"}
-        self.out = {d: np.ascontiguousarray(o.T) for d, o in (("f", f["out"][:h]), ("b", f["out"][h:]))}
+        # below the gates' rows, those that score the state that goes in
+        score = {"f": f["out"][:h], "b": f["out"][h:]}
+        silent = np.zeros((f["embed"].shape[1] + 1, LABELS), np.float32)
+        self.weights = {d: np.ascontiguousarray(np.concatenate([np.concatenate([f[f"rec_{d}"] * scale, f[f"in_{d}"] * scale, (f[f"bias_{d}"] * scale + half)[None]]), np.concatenate([score[d], silent])], axis=1).T) for d in "fb"}
         self.out_bias, self.trans, self.first = f["out_bias"], f["trans"], f["first"]
+        self.back = np.full_like(self.trans, -np.inf)
+        self.back[:, FREE] = self.trans[:, FREE]
+        for i in INSIDE:
+            self.back[[i - 1, i], i] = self.trans[[i - 1, i], i]
 
     def _run(self, x: np.ndarray, d: str, s: np.ndarray) -> None:
         """Adds a direction's part to the scores (T, LABELS, N). x: (T, N)."""
@@ -83,21 +95,23 @@ class Model:
         # the state, then the embedding of the character and a one for the bias
         given = np.zeros((h + len(self.embed), n), np.float32)
         state, letter = given[:h], given[h:]
-        cell, z, part = np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((LABELS, n), np.float32)
-        gates, enter, keep, leave, candidate = z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
-        weights, out = self.weights[d], self.out[d]
+        cell, z = np.zeros((h, n), np.float32), np.empty((4 * h + LABELS, n), np.float32)
+        gates, enter, keep, leave, candidate, scored = z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h : 4 * h], z[4 * h :]
+        weights, before = self.weights[d], None
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             self.embed.take(x[k], axis=1, out=letter, mode="clip")
             np.matmul(weights, given, out=z)
-            np.maximum(gates, 0, out=gates)
-            np.minimum(gates, 1, out=gates)
-            np.tanh(candidate, out=candidate)
+            if before is not None:
+                s[before] += scored
+            before = k
+            _clip(gates, NEARLY_SHUT, 1, gates)
+            _clip(candidate, -1, 1, candidate)
             cell *= keep
             enter *= candidate
             cell += enter
-            np.tanh(cell, out=state)
+            _clip(cell, -1, 1, state)
             state *= leave
-            s[k] += np.matmul(out, state, out=part)
+        s[before] += np.matmul(weights[4 * h :, :h], state)
 
     def _scores(self, x: np.ndarray) -> np.ndarray:
         s = np.empty((x.shape[1], LABELS, x.shape[0]), np.float32)
@@ -112,18 +126,26 @@ class Model:
         return self._scores(x).transpose(0, 2, 1)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best labels (N, T) by Viterbi."""
+        """The best labels (N, T) by Viterbi; an inside follows only its own beginning or itself."""
         best = self._scores(x)
         t, _, n = best.shape
+        free, own_b, own_i = np.ascontiguousarray(self.trans[:, FREE])[:, :, None], self.trans[BEGIN, INSIDE][:, None], self.trans[INSIDE, INSIDE][:, None]
         best[0] += self.first[:, None]
-        paths = np.empty((LABELS, LABELS, n), np.float32)
+        best[0, INSIDE] = -np.inf
+        paths, held, on = np.empty((LABELS, len(FREE), n), np.float32), np.empty((len(INSIDE), n), np.float32), np.empty((len(INSIDE), n), np.float32)
         for k in range(1, t):
-            np.add(best[k - 1][:, None], self.trans[:, :, None], out=paths)
-            best[k] += paths.max(axis=0)
+            a, here = best[k - 1], best[k]
+            np.add(a[:, None], free, out=paths)
+            most = paths.max(axis=0)
+            here[0] += most[0]
+            here[1::2] += most[1:]
+            np.add(a[1::2], own_b, out=held)
+            np.add(a[2::2], own_i, out=on)
+            here[2::2] += np.maximum(held, on, out=held)
         labels = np.empty((t, n), np.int8)
         labels[-1] = best[-1].argmax(axis=0)
         for k in range(t - 1, 0, -1):
-            labels[k - 1] = (best[k - 1] + self.trans[:, labels[k]]).argmax(axis=0)
+            labels[k - 1] = (best[k - 1] + self.back[:, labels[k]]).argmax(axis=0)
         return labels.T
 
 

@@ -135,6 +135,9 @@ def _own(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
     if start == end or text[start].isalnum() and start and (text[start - 1].isalnum() or text[start - 1] in "_-/") or text[end : end + 1].isalnum() or text[end : end + 1] in ("_", "-"):
         return None
     s = text[start:end]
+    groups = re.findall(r"\d+", s)
+    if kind == "phone" and any(a == b for a, b in zip(groups, groups[1:]) if len(a) > 2):
+        return None  # equal groups count something
     if _OWN[kind].fullmatch(s) is None or kind == "email" and (_NO_MAILBOX.match(s) or text[end : end + 1] == ":"):
         return None
     return start, end

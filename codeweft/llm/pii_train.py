@@ -22,7 +22,7 @@ import numpy as np
 
 from . import pii_grammar as G
 from . import pii_made as made
-from .pii import LABELS, SLOPE, SYMBOLS, WEIGHTS, Finder, Model, symbols, windows
+from .pii import LABELS, NEARLY_SHUT, SLOPE, SYMBOLS, WEIGHTS, Finder, Model, symbols, windows
 
 #: Bound of the labelled sample.
 DOCUMENTS = 20_000
@@ -194,11 +194,11 @@ def start_weights(r: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def _gate(x: np.ndarray) -> np.ndarray:
-    return np.clip(SLOPE * x + 0.5, 0, 1)
+    return np.clip(SLOPE * x + 0.5, NEARLY_SHUT, 1)
 
 
 def _slope(gate: np.ndarray) -> np.ndarray:
-    return SLOPE * ((gate > 0) & (gate < 1))
+    return SLOPE * ((gate > NEARLY_SHUT) & (gate < 1))
 
 
 def _forward(w: dict, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
@@ -208,11 +208,11 @@ def _forward(w: dict, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
     out, kept = np.empty((t, n, HIDDEN), np.float32), [None] * t
     for k in range(t) if d == "f" else range(t - 1, -1, -1):
         z = table[x[:, k]] + state @ w[f"rec_{d}"]
-        gates, cand = _gate(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
+        gates, cand = _gate(z[:, : 3 * HIDDEN]), np.clip(z[:, 3 * HIDDEN :], -1, 1)
         i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         before_state, before_cell = state, cell
         cell = f * cell + i * cand
-        th = np.tanh(cell)
+        th = np.clip(cell, -1, 1)
         state = o * th
         kept[k] = (i, f, o, cand, th, before_state, before_cell)
         out[k] = state
@@ -227,8 +227,8 @@ def _backward(w: dict, g: dict, x: np.ndarray, d: str, grad: np.ndarray, kept: l
     for k in range(t - 1, -1, -1) if d == "f" else range(t):
         i, f, o, cand, th, before_state, before_cell = kept[k]
         ds = ds + grad[k]
-        dc = dc + ds * o * (1 - th * th)
-        dz = np.concatenate([dc * cand * _slope(i), dc * before_cell * _slope(f), ds * th * _slope(o), dc * i * (1 - cand * cand)], axis=1)
+        dc = dc + ds * o * (np.abs(th) < 1)
+        dz = np.concatenate([dc * cand * _slope(i), dc * before_cell * _slope(f), ds * th * _slope(o), dc * i * (np.abs(cand) < 1)], axis=1)
         drec += before_state.T @ dz
         one = np.zeros((n, SYMBOLS), np.float32)
         one[np.arange(n), x[:, k]] = 1
