@@ -39,9 +39,15 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def read_vocabulary(path: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
-    """Token bytes by id, and the merges as (left id, right id, result id), of a tokenizers JSON file."""
+    """Token bytes by id, and the merges as (left id, right id, result id), of a tokenizers JSON file.
+
+    Vocabularies that cut or merge otherwise than this encoder does are refused.
+    """
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or model.get("ignore_merges") or whole.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError(f"{path} is no byte-level BPE with the usual pattern")
     ids, to_byte = model["vocab"], _byte_of_char()
     tokens = [b""] * (max(ids.values()) + 1)
     for text, i in ids.items():
@@ -52,6 +58,8 @@ def read_vocabulary(path: str) -> tuple[list[bytes], list[tuple[int, int, int]]]
         left, right = m.split(" ") if isinstance(m, str) else m
         merges.append((ids[left], ids[right], ids[left + right]))
         # a token that no merge makes is never met in text
+    if any(a[2] >= b[2] for a, b in zip(merges, merges[1:])):
+        raise ValueError(f"{path}: ids do not rise with the rank of merges")
     made = {m[2] for m in merges} | {i for i, t in enumerate(tokens) if len(t) == 1}
     return [t if i in made else b"" for i, t in enumerate(tokens)], merges
 
@@ -220,7 +228,7 @@ def _encoder(shared) -> Encoder:
 def _share(df: DataFrame, vocabulary: str):
     # about 50,000 tokens, whatever the input
     tokens, merges = read_vocabulary(vocabulary)
-    return df.sparkSession.sparkContext.broadcast((hash((vocabulary, len(tokens), len(merges))), (tokens, merges)))
+    return df.sparkSession.sparkContext.broadcast((hash((tuple(tokens), tuple(merges))), (tokens, merges)))
 
 
 def _lists(parts: list[bytes]) -> pa.Array:

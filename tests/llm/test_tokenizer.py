@@ -51,3 +51,16 @@ def test_frames(spark):
     assert got[1]["ids"] == [] and got[2]["ids"] == []
     assert [r["text"] for r in decode_documents(out, PATH).collect()] == ["def f(x): return x", "", "", "  \n", "again", "z"]
     assert encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    good = json.load(open(PATH))
+    small = {"model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4}, "merges": ["a b", "b c"]}, "pre_tokenizer": good["pre_tokenizer"]}
+    (tmp_path / "v.json").write_text(json.dumps(small))
+    assert read_vocabulary(str(tmp_path / "v.json"))[1] == [(0, 1, 3), (1, 2, 4)]
+    for wrong in (small | {"pre_tokenizer": {"type": "Whitespace"}}, small | {"normalizer": {"type": "NFC"}}, small | {"model": small["model"] | {"merges": ["b c", "a b"]}}):
+        (tmp_path / "v.json").write_text(json.dumps(wrong))
+        with pytest.raises(ValueError):
+            read_vocabulary(str(tmp_path / "v.json"))
