@@ -60,8 +60,25 @@ def main(argv: list[str] | None = None) -> int:
         for root in known if a.all else [str(Path(a.repo).resolve())]:
             print(root, "removed" if engine.clean(root, a.force) and a.force else "needs --force" if engine.clean(root) else "no index")
         return 0
+    index = engine.find_index(a.repo)
+    if a.verb == "augment" and (index is None or len(a.text.strip()) < 3):
+        return 0  # a hook: it says nothing and never fails
+    if a.verb == "detect-changes" and a.scope == "compare" and not a.base_ref:
+        print("compare needs --base-ref", file=sys.stderr)
+        return 2
+    if index is None and a.verb not in ("analyze", "wiki", "serve", "mcp"):
+        print("no index here; run analyze", file=sys.stderr)
+        return 1
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
+    if a.verb == "augment":
+        try:
+            text = engine.Engine(spark, str(index)).augment(a.text)
+        except Exception:  # noqa: BLE001
+            text = ""
+        if text:
+            print(f"[codeweft]\n{text}", file=sys.stderr)
+        return 0
     if a.verb == "analyze":
         meta = engine.analyze(spark, a.repo, force=a.force)
         known[meta["repoPath"]] = {"name": Path(meta["repoPath"]).name, "path": meta["repoPath"], **{k: meta[k] for k in ("indexedAt", "lastCommit", "stats")}}
@@ -69,17 +86,15 @@ def main(argv: list[str] | None = None) -> int:
         Path(a.registry).write_text(json.dumps(known, indent=2))
         print(json.dumps(meta, indent=2))
         return 0
-    index = engine.find_index(a.repo)
-    if index is None:
-        print("no index here; run analyze", file=sys.stderr)
-        return 1
-    e = engine.Engine(spark, str(index))
+    e = engine.read_through(spark, a.repo)
     if a.verb in ("serve", "mcp", "eval-server"):
         from . import serve
 
-        return serve.mcp(e) if a.verb == "mcp" else serve.http(e, a.port, getattr(a, "idle_seconds", 0.0))
+        repos = serve.Repos(e, known)
+        # the evaluation server takes smaller requests
+        return serve.mcp(repos) if a.verb == "mcp" else serve.http(repos, a.port, getattr(a, "idle_seconds", 0.0), serve.MAX_BODY if a.verb == "serve" else serve.MAX_EVAL_BODY)
     answers = {
-        "status": lambda: e.meta, "wiki": lambda: e.wiki(a.out), "augment": lambda: e.augment(a.text), "query": lambda: e.query(" ".join([a.text, a.context, a.goal]), a.limit), "context": lambda: e.context(a.name, a.uid, a.file),
+        "status": lambda: e.meta, "wiki": lambda: e.wiki(a.out), "query": lambda: e.query(" ".join([a.text, a.context, a.goal]), a.limit), "context": lambda: e.context(a.name, a.uid, a.file),
         "impact": lambda: e.impact(a.target, a.direction, a.depth, a.relations, a.min_confidence, a.include_tests), "cypher": lambda: e.cypher(a.text), "detect-changes": lambda: e.detect_changes(scope=a.scope, base=a.base_ref),
         "rename": lambda: e.rename(a.new, a.name, a.uid, a.file, a.apply),
     }

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import shutil
 from pathlib import Path
 from typing import Any
@@ -24,7 +25,7 @@ from .session import cut
 from .sources import project, scan
 
 FOLDER = ".codegraph"
-_TABLES = ("files", "nodes", "edges", "communities", "processes", "process_steps")
+_TABLES = ("files", "nodes", "edges", "communities", "processes", "process_steps", "memberships", "words")
 
 
 class AnswerError(ValueError):
@@ -33,17 +34,8 @@ class AnswerError(ValueError):
 
 def read_config(root: str) -> I.ProjectConfig:
     """The configuration of imports that lies in a repo's root (project files of C# anywhere below)."""
-    base, aliases = None, ()
     top = Path(root)
-    for name in ("tsconfig.json", "tsconfig.app.json", "tsconfig.base.json"):
-        if (top / name).exists():
-            try:
-                base, found = project.tsconfig_paths((top / name).read_text())
-            except ValueError:
-                continue
-            aliases = tuple(found)
-            if aliases:
-                break
+    base, aliases = project.tsconfig_of([(top / name).read_text(errors="replace") for name in ("tsconfig.json", "tsconfig.app.json", "tsconfig.base.json") if (top / name).exists()])
     module = project.go_module((top / "go.mod").read_text()) if (top / "go.mod").exists() else None
     psr4 = ()
     if (top / "composer.json").exists():
@@ -52,7 +44,7 @@ def read_config(root: str) -> I.ProjectConfig:
         except ValueError:
             pass
     cs = tuple(project.csproj_namespace(p.relative_to(top).as_posix(), p.read_text(errors="replace")) for p in sorted(top.rglob("*.csproj")))
-    return I.ProjectConfig(base, aliases, module, psr4, cs)
+    return I.ProjectConfig(base, tuple(aliases), module, psr4, tuple(project.csharp_order(list(cs))))
 
 
 def analyze(spark: SparkSession, root: str, index: str | None = None, force: bool = False) -> dict[str, Any]:
@@ -74,7 +66,8 @@ def analyze(spark: SparkSession, root: str, index: str | None = None, force: boo
     members = cut(G.process_members(edges))
     processes = cut(G.processes(edges, members))
     communities = cut(G.communities(edges, nodes))
-    out = {"files": files.drop("repo"), "nodes": nodes, "edges": edges, "communities": communities, "processes": processes, "process_steps": G.process_steps(processes, members)}
+    steps = cut(G.process_steps(processes, members))
+    out = {"files": files.drop("repo"), "nodes": nodes, "edges": edges, "communities": communities, "processes": processes, "process_steps": steps, "memberships": G.memberships(communities, steps, nodes), "words": V.symbol_index(nodes, files.where("content is not null"))}
     for name, df in out.items():
         df.write.mode("overwrite").parquet(f"{index}/{name}")
     stats = {"files": files.where("not skipped_large").count(), "nodes": nodes.count(), "edges": edges.count(), "communities": communities.select("id").distinct().count(), "processes": processes.count(), "skippedLarge": files.where("skipped_large").count()}
@@ -99,6 +92,15 @@ def find_index(start: str) -> Path | None:
     return next((p / FOLDER for p in (here, *here.parents) if (p / FOLDER / "meta.json").exists()), None)
 
 
+def read_through(spark: SparkSession, root: str) -> Engine:
+    """The engine of a repo's index; where there is none, the repo is indexed first."""
+    index = find_index(root)
+    if index is None:
+        analyze(spark, root)
+        index = Path(root).resolve() / FOLDER
+    return Engine(spark, str(index))
+
+
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
@@ -198,15 +200,24 @@ class Engine:
         for r in plan:
             changes.setdefault(r["path"], []).append({"line": r["line_no"], "old_text": r["old_text"], "new_text": r["new_text"], "confidence": r["confidence"]})
         if apply:
-            import re
-
-            pattern = re.compile(rf"(?<![A-Za-z0-9_$]){re.escape(old)}(?![A-Za-z0-9_$])")
-            for path in changes:
-                at = Path(self.meta["repoPath"], path)
-                at.write_text(pattern.sub(lambda _: new, at.read_text()))
+            self._apply(changes, old, new)
         graph = sum(e["confidence"] == "graph" for edits in changes.values() for e in edits)
         return {"status": "success", "old_name": old, "new_name": new, "files_affected": len(changes), "total_edits": len(plan), "graph_edits": graph, "text_search_edits": len(plan) - graph, "changes": [{"file_path": p, "edits": e} for p, e in changes.items()], "applied": apply}
 
+    def _apply(self, changes: dict[str, list], old: str, new: str) -> None:
+        """Writes a plan's edits; nothing is written unless every file still holds the planned lines."""
+        pattern = re.compile(rf"(?<![A-Za-z0-9_$]){re.escape(old)}(?![A-Za-z0-9_$])")
+        texts = {}
+        for path, edits in changes.items():
+            with Path(self.meta["repoPath"], path).open(newline="") as f:
+                texts[path] = f.read()
+            lines = texts[path].split("\n")
+            if any(e["line"] > len(lines) or lines[e["line"] - 1].strip() != e["old_text"] for e in edits):
+                raise AnswerError(f"{path} has changed since it was indexed")
+        for path, text in texts.items():
+            with Path(self.meta["repoPath"], path).open("w", newline="") as f:
+                f.write(pattern.sub(lambda _: new, text))
+
     def cypher(self, text: str) -> dict[str, Any]:
         try:
             df = cut(cypher.run(text, self.nodes, self.edges))
@@ -216,8 +227,7 @@ class Engine:
 
     def search(self, text: str, limit: int = 10) -> dict[str, Any]:
         limit = max(1, min(100, limit))
-        docs = V.snippets(self.nodes, self.files).join(self.nodes, "id").select("id", F.concat_ws(" ", "name", "snippet").alias("body"))
-        rows = V.bm25(docs, "id", "body", text, limit).withColumnRenamed("id", "symbol_id").join(self._ref(), "symbol_id").orderBy(F.desc("score"), "name", "filePath")
+        rows = V.search_index(self.words, text, limit).select(F.col("id").alias("symbol_id"), "score").join(self._ref(), "symbol_id").orderBy(F.desc("score"), "name", "filePath")
         return {"processes": [], "process_symbols": [], "definitions": _rows(rows.select(F.col("symbol_id").alias("id"), "name", "type", "filePath", "startLine", "endLine", "score"))}
 
     def file(self, path: str) -> str | None:

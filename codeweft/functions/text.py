@@ -74,8 +74,13 @@ def identifier_pattern(name: str) -> str:
 
 
 def url_decode(c: Column) -> Column:
-    """`+` is a blank and %XX a byte; null if it is malformed."""
-    return F.try_url_decode(c)
+    """`+` is a blank and %XX a byte; a `%` without two hex digits stands for itself, bytes that are no UTF-8 for U+FFFD."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def truncate(c: Column, most: int) -> Column:
+    """At most `most` characters, with three dots where something was left off."""
+    return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit("..."))).otherwise(c)
 
 
 def short_commit(c: Column) -> Column:

@@ -15,7 +15,7 @@ from ..session import cut
 #: Rounds after which something is wrong; label contraction needs about the logarithm of a component's size.
 MAX_ROUNDS = 60
 #: A vertex with more than this part of the edges is heavy; there are fewer than twice its reciprocal of such vertices.
-HEAVY_PART = 1 / 1000
+HEAVY_PART, LEAST_HEAVY = 1 / 1000, 1000
 #: Edges up to which a root's search is one task's work.
 SEARCH_EDGES = 200_000
 
@@ -66,7 +66,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
         seen = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
         if (now := tuple(seen)) == before:
             break
-        before, part = now, max(1000.0, seen["n"] * HEAVY_PART)
+        before, part = now, max(LEAST_HEAVY, seen["n"] * HEAVY_PART)
         # large star: each node sends its larger neighbours to its smallest
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")

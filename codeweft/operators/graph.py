@@ -152,6 +152,17 @@ def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(numbers, "component").select("id", "file_path")
 
 
+def memberships(communities_: DataFrame, steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, source_id, target_id, rel_type, confidence, reason): MEMBER_OF from symbols to their file's community, STEP_IN_PROCESS to their flows.
+
+    reason holds a step's place.
+    """
+    symbols = nodes.where(is_symbol(F.col("label"))).select(F.col("id").alias("source_id"), "file_path")
+    member = symbols.join(communities_.select(F.col("id").alias("target_id"), "file_path"), "file_path").select("source_id", "target_id", F.lit("MEMBER_OF").alias("rel_type"), F.lit("").alias("reason"))
+    step = steps.select(F.col("symbol_id").alias("source_id"), F.col("process_id").alias("target_id"), F.lit("STEP_IN_PROCESS").alias("rel_type"), F.col("step_index").cast("string").alias("reason"))
+    return member.unionByName(step).select(F.concat("rel_type", F.lit(":"), "source_id", F.lit("->"), "target_id").alias("id"), "source_id", "target_id", "rel_type", F.lit(1.0).alias("confidence"), "reason")
+
+
 def community_labels(members: DataFrame) -> DataFrame:
     """(id, file_count, heuristic_label): the commonest first folder, the greatest name among equals."""
     counts = members.groupBy("id", top_dir(F.col("file_path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))

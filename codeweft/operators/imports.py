@@ -111,8 +111,8 @@ class ProjectConfig:
     csharp: tuple[tuple[str, str], ...] = ()
 
 
-def _configured(spec: Column, language: Column, config: ProjectConfig) -> Column:
-    """Bases that the configuration gives for a specifier, in the order they are tried."""
+def _configured(spec: Column, language: Column, path: Column, config: ProjectConfig) -> Column:
+    """Bases that the configuration gives for a specifier of the file at `path`, in the order they are tried."""
 
     def rest(n: int) -> Column:
         return F.substring(spec, F.lit(n + 1), F.length(spec))
@@ -124,7 +124,13 @@ def _configured(spec: Column, language: Column, config: ProjectConfig) -> Column
     script += [under(config.base, spec)] if config.base is not None else []
     go = [F.when(spec.startswith(config.go_module), normal_path(rest(len(config.go_module))))] if config.go_module else []
     php = [F.when(spec.startswith(p), under(d, F.replace(rest(len(p)), F.lit("\\"), F.lit("/")))) for p, d in config.psr4]
-    cs = [F.when((spec == n) | spec.startswith(n + "."), under(d, F.replace(rest(len(n) + 1), F.lit("."), F.lit("/")))) for d, n in sorted(config.csharp, key=lambda p: (-len(p[1]), p))]
+    # C#: the project that holds the file, the one with the longest folder (ties: the last namespace), then all by folder
+    named = lambda d, n: F.when((spec == n) | spec.startswith(n + "."), under(d, F.replace(rest(len(n) + 1), F.lit("."), F.lit("/"))))
+    projects = sorted(set(config.csharp), key=lambda p: (-len(p[0]), p))
+    own = F.lit(None).cast("string")
+    for d, n in sorted(projects, key=lambda p: (len(p[0]), p[1])):
+        own = F.when(path.startswith(d + "/") if d else F.lit(True), named(d, n)).otherwise(own)
+    cs = [own, *(named(d, n) for d, n in projects)] if projects else []
     out = F.array().cast("array<string>")
     for names, bases in ((("typescript", "javascript"), script), (("go",), go), (("php",), php), (("csharp",), cs)):
         if bases:
@@ -144,7 +150,7 @@ def resolve_imports(specifiers: DataFrame, paths: DataFrame, config: ProjectConf
     joined_path = normal_path(F.concat_ws("/", dir_name(F.col("path")), spec))
     as_path = F.when(F.col("language") == "php", F.replace(spec, F.lit("\\"), F.lit("/"))).otherwise(spec)
     loose = normal_path(F.when(as_path.contains("/"), as_path).otherwise(F.replace(as_path, F.lit("."), F.lit("/"))))
-    exact = F.when(relative, F.array(joined_path)).otherwise(_configured(spec, F.col("language"), config or ProjectConfig()))
+    exact = F.when(relative, F.array(joined_path)).otherwise(_configured(spec, F.col("language"), F.col("path"), config or ProjectConfig()))
     every_base = F.concat(F.transform(exact, lambda b, i: F.struct(i.alias("turn"), F.lit(True).alias("exact"), b.alias("base"))), F.when(relative, F.array().cast("array<struct<turn:int,exact:boolean,base:string>>")).otherwise(F.array(F.struct(F.lit(1000).alias("turn"), F.lit(False).alias("exact"), loose.alias("base")))))
     asked = specifiers.select("repo", "path", "language", spec.alias("specifier")).distinct().select("repo", F.col("path").alias("source_file"), "language", "specifier", F.inline(every_base)).where("base != ''")
     asked = cut(asked)  # three branches follow; specifiers are few next to the content they come from

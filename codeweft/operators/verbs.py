@@ -155,11 +155,49 @@ def snippets(nodes: DataFrame, files: DataFrame, n_lines: int = 25) -> DataFrame
     return both.select("id", F.array_join(F.slice(parts, F.least(first, F.size(parts)) + 1, F.lit(n_lines)), "\n").alias("snippet")).distinct()
 
 
-def build_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Inverted index: postings (term, key, tf, n_terms) and the corpus's (n_docs, avg_terms), one row."""
-    terms = docs.where(F.col(text).isNotNull()).select(F.col(key), search_tokens(F.col(text)).alias("terms")).withColumn("n_terms", F.size("terms"))
-    posts = terms.select(key, "n_terms", F.explode("terms").alias("term")).groupBy("term", key, "n_terms").agg(F.count(F.lit(1)).alias("tf"))
-    return posts, terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
+def symbol_index(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(label, id, term, tf, n_terms): the stemmed words of each symbol's name and snippet. Written once, asked often."""
+    import pyarrow as pa
+
+    from ..functions.stem import stem
+
+    words = search_tokens(F.concat_ws(" ", "name", "snippet"))
+    rows = nodes.where(is_symbol(F.col("label"))).join(snippets(nodes, files), "id", "left").select("label", "id", words.alias("words"))
+
+    def run(batches):
+        for b in batches:
+            out = ([], [], [], [], [])
+            for label, key, own in zip(*(b.column(i).to_pylist() for i in range(3))):
+                counts: dict[str, int] = {}
+                for w in own or ():
+                    counts[w] = counts.get(w := stem(w), 0) + 1
+                for term, n in counts.items():
+                    for column, value in zip(out, (label, key, term, n, len(own))):
+                        column.append(value)
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["label", "id", "term", "tf", "n_terms"])
+
+    return rows.mapInArrow(run, "label string, id string, term string, tf bigint, n_terms bigint")
+
+
+def search_index(index: DataFrame, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, label, score): BM25 within each label, its best `limit`; an id's best score counts, ties go to the smaller id."""
+    import re
+
+    from ..functions.stem import stem
+
+    limit = max(1, min(100, limit))
+    asked = sorted({stem(t) for t in re.split(r"[^A-Za-z0-9_$/]+", query.lower()) if len(t) >= 2})
+    sizes = index.groupBy("label", "id").agg(F.first("n_terms").alias("n")).groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_terms"))
+    hits = index.where(F.col("term").isin(asked))
+    seen = hits.groupBy("label", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms")))
+    # one row a label, and one a label and asked word
+    scored = hits.join(F.broadcast(seen), ["label", "term"]).join(F.broadcast(sizes), "label").groupBy("label", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))
+    best = scored.withColumn("place", place).where(F.col("place") <= limit).groupBy("id").agg(F.max(F.struct("score", "label")).alias("s"))
+    return best.select("id", "s.label", "s.score").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.orphans import graph_references, node_lives, orphan_references, orphan_report
-from ..operators.skew import Agg, heavy_hitters, salted_aggregate, salted_distinct_count
+from ..operators.skew import Agg, heavy_hitters, salted_aggregate
 from ..sources.tables import table
 from .registry import Registry
 
@@ -65,9 +65,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 )
 def p4_targets(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "edges").select("target_id", "source_id", "confidence", "loaded_at")
-    sums = salted_aggregate(edges, "target_id", [Agg("count", None, "n_refs"), Agg("mean", "confidence", "mean_confidence"), Agg("min", "loaded_at", "first_at"), Agg("max", "loaded_at", "last_at")])
-    callers = salted_distinct_count(edges, "target_id", "source_id", "n_callers")
-    return sums.join(callers, "target_id").select("target_id", "n_refs", "n_callers", F.round("mean_confidence", 6).alias("mean_confidence"), "first_at", "last_at")
+    rows = salted_aggregate(edges, "target_id", [Agg("count", None, "n_refs"), Agg("mean", "confidence", "mean_confidence"), Agg("min", "loaded_at", "first_at"), Agg("max", "loaded_at", "last_at")], distinct=("source_id", "n_callers"))
+    return rows.select("target_id", "n_refs", "n_callers", F.round("mean_confidence", 6).alias("mean_confidence"), "first_at", "last_at")
 
 
 @REGISTRY.add(

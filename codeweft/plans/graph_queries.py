@@ -234,7 +234,13 @@ def gen_snippet(spark, d):
     return V.snippets(_nodes(spark, d), _code(spark, d))
 
 
-@q("gen_rename_edits")
+_ALONE = "'(^|[^A-Za-z0-9_$])filter([^A-Za-z0-9_$]|$)'"
+
+
+@q(
+    "gen_rename_edits",
+    f"with {_LINES_SQL} select path, line_no, trim(raw, {_WHITE}) as old_text, trim(regexp_replace(regexp_replace(raw, {_ALONE}, '\\1sift\\2', 'g'), {_ALONE}, '\\1sift\\2', 'g'), {_WHITE}) as new_text from lines where regexp_matches(raw, {_ALONE})",
+)
 def gen_rename_edits(spark, d):
     return V.rename_edits(_code(spark, d), "filter", "sift")
 
@@ -282,7 +288,10 @@ def str_short_commit(spark, d):
     return table(spark, d, "registry").select("name", "path", "indexed_at", short_commit(F.col("last_commit")).alias("short_commit"))
 
 
-@q("pth_normalize")
+_NORMAL = "array_to_string(coalesce(list_reduce(list_prepend(cast([] as varchar[]), list_transform(list_filter(string_split(replace(target_file, '\\', '/'), '/'), lambda x: x not in ('', '.')), lambda x: [x])), lambda a, x: case when x[1] = '..' then a[1:greatest(len(a) - 1, 0)] else list_concat(a, x) end), []), '/')"
+
+
+@q("pth_normalize", f"select import_no, case when target_file is not null then {_NORMAL} end as target_file from imports")
 def pth_normalize(spark, d):
     return table(spark, d, "imports").select("import_no", normal_path(F.col("target_file")).alias("target_file"))
 
@@ -330,7 +339,13 @@ def join_import_relative(spark, d):
     return I.resolve_imports(spec, code.select("repo", "path").distinct())
 
 
-@q("join_import_dir")
+@q(
+    "join_import_dir",
+    f"""with {_CODE_SQL}, p as (select repo, path, string_split(path, '/') as parts, case when ends_with(path, '.go') then 'go' when ends_with(path, '.php') then 'php' when ends_with(path, '.cs') then 'csharp' end as language from code),
+    f as (select repo, language, path, array_to_string(parts[1:i], '/') as folder, parts[i] as leaf from (select *, unnest(generate_series(1, len(parts) - 1)) as i from p where language is not null and len(parts) > 1)),
+    r as (select *, case when path = folder || '/' || leaf || case language when 'go' then '.go' when 'php' then '.php' else '.cs' end then 0 when ends_with(path, '_test.go') then 2 else 1 end as rank from f)
+    select repo, language, folder, arg_min(path, row(rank, path)) as path from r group by 1, 2, 3""",
+)
 def join_import_dir(spark, d):
     return I.folder_modules(_repo_paths(spark, d))
 
@@ -401,6 +416,21 @@ def src_registry_latest(spark, d):
     return store.latest_registry(table(spark, d, "registry")).select("path", "name", "indexed_at")
 
 
+def _components_sql(name: str, links: str) -> str:
+    """A recursive term (id, comp) of the components of links (u, v), both ways; comp is the smallest id."""
+    return f"""{name}(id, comp) using key (id) as (select distinct u, u from {links} union select l.v, min(c.comp) from {name} c join {links} l on l.u = c.id join recurring.{name} o on o.id = l.v where c.comp < o.comp group by l.v)"""
+
+
+_FLOWS_SQL = f"""calls as (select distinct source_id as s, target_id as t from e where rel_type = 'CALLS' and source_id != target_id), both_ways as (select s as u, t as v from calls union all select t, s from calls), {_components_sql('cc', 'both_ways')},
+    degree as (select t, count(*) as n from calls group by 1), members as (select comp as component, id, coalesce(n, 0) as in_degree from cc left join degree on t = id),
+    heads as (select component, coalesce(min(id) filter (in_degree = 0), min(id)) as entry_symbol_id, count(*) as symbol_count from members group by 1),
+    reached(id, component, depth) using key (id) as (select entry_symbol_id, component, 0 from heads union select c.t, min(r.component), min(r.depth) + 1 from reached r join calls c on c.s = r.id left join recurring.reached o on o.id = c.t where o.id is null group by c.t),
+    flows as (select 'process_' || row_number() over (order by component) as id, entry_symbol_id, symbol_count, step_count, component from heads join (select component, cast(max(depth) + 1 as bigint) as step_count from reached group by 1) using (component)),
+    steps as (select flows.id as process_id, members.id as symbol_id, row_number() over (partition by flows.id order by members.id) as step_index, step_count from members join flows using (component))"""
+_MODULES_SQL = f"""links as (select distinct s.file_path as src, t.file_path as dst from e join n s on s.id = source_id join n t on t.id = target_id where rel_type in ('CALLS', 'IMPORTS', 'EXTENDS', 'IMPLEMENTS') and s.file_path is not null and t.file_path is not null),
+    links_both as (select src as u, dst as v from links union all select dst, src from links), {_components_sql('mc', 'links_both')}, modules as (select 'community_' || dense_rank() over (order by comp) as id, id as file_path from mc)"""
+
+
 # ---- graph ----------------------------------------------------------------------------------------------------------------
 
 
@@ -409,7 +439,12 @@ def grf_current_nodes(spark, d):
     return _nodes(spark, d)
 
 
-@q("grf_nodes")
+@q(
+    "grf_nodes",
+    f"""with {_symbols_sql()}, p as (select path, language, string_split(path, '/') as parts, unnest(generate_series(1, len(string_split(path, '/')))) as i from code),
+    t as (select distinct array_to_string(parts[1:i], '/') as p, case when i = len(parts) then 'File' else 'Folder' end as label, parts[i] as name, case when i = len(parts) then language end as language from p)
+    select label || ':' || p as id, label, name, p as file_path, cast(null as bigint) as start_line, language from t union all select id, label, name, file_path, start_line, language from symbols""",
+)
 def grf_nodes(spark, d):
     code = _code(spark, d)
     return G.build_nodes(code.select("path", "language"), S.symbols(code))
@@ -433,35 +468,37 @@ def agg_degree(spark, d):
     return G.degrees(_edges(spark, d))
 
 
-@q("grf_process_members")
+@q("grf_process_members", f"with recursive {_EDGES_SQL}, {_FLOWS_SQL} select component, id, in_degree from members")
 def grf_process_members(spark, d):
     return G.process_members(_edges(spark, d))
 
 
-@q("grf_processes")
+@q("grf_processes", f"with recursive {_EDGES_SQL}, {_FLOWS_SQL} select id, entry_symbol_id, symbol_count, step_count, component from flows")
 def grf_processes(spark, d):
     return G.processes(cut(_edges(spark, d)))
 
 
-@q("grf_communities")
+@q("grf_communities", f"with recursive {_NODES_SQL}, {_EDGES_SQL}, {_MODULES_SQL} select id, file_path from modules")
 def grf_communities(spark, d):
     return G.communities(_edges(spark, d), _nodes(spark, d))
 
 
-@q("agg_community_label")
+@q(
+    "agg_community_label",
+    f"with recursive {_NODES_SQL}, {_EDGES_SQL}, {_MODULES_SQL}, counts as (select id, string_split(file_path, '/')[1] as dir, count(*) as k from modules group by 1, 2) select id, cast(sum(k) as bigint) as file_count, arg_max(dir, row(k, dir)) as heuristic_label from counts group by 1",
+)
 def agg_community_label(spark, d):
     return G.community_labels(grf_communities(spark, d))
 
 
 @q(
     "agg_module_edges",
-    f"""with {_NODES_SQL}, {_EDGES_SQL}, m as (select id, coalesce(string_split(file_path, '/')[1], 'unknown') as module from n)
+    f"""with recursive {_NODES_SQL}, {_EDGES_SQL}, {_MODULES_SQL}, m as (select n.id, coalesce(modules.id, 'unknown') as module from n left join modules using (file_path))
     select s.module as src_module, t.module as dst_module, count(*) as n_edges from e join m s on s.id = source_id join m t on t.id = target_id where rel_type in ('CALLS', 'IMPORTS', 'EXTENDS', 'IMPLEMENTS') and s.module != t.module group by 1, 2""",
 )
 def agg_module_edges(spark, d):
-    nodes = _nodes(spark, d)
-    by_repo = nodes.where("file_path is not null").select(top_dir(F.col("file_path")).alias("id"), "file_path").distinct()
-    return G.module_edges(_edges(spark, d), nodes, by_repo)
+    nodes, edges = cut(_nodes(spark, d)), cut(_edges(spark, d))
+    return G.module_edges(edges, nodes, cut(G.communities(edges, nodes)))
 
 
 @q("top_module_edges", REGISTRY.sql["agg_module_edges"] + " order by n_edges desc, src_module, dst_module limit 20")
@@ -484,10 +521,10 @@ def agg_stats(spark, d):
     return G.statistics(_scan(spark, d), _nodes(spark, d), _edges(spark, d))
 
 
-def _impact_sql(near: str, far: str) -> str:
+def _impact_sql(near: str, far: str, start: str = f"select '{HUB}' as id") -> str:
     step = lambda k: f"""s{k} as (select h.{far} as id, arg_min({{rel_type: h.rel_type, confidence: h.confidence}}, h.id) as by_edge from h join {f's{k - 1}' if k > 1 else 's0'} p on h.{near} = p.id join a on a.id = h.{far} where {' and '.join(f'h.{far} not in (select id from s{j})' for j in range(k))} group by 1)"""
     return f"""with {_NODES_SQL}, {_EDGES_SQL}, h as (select * from e where rel_type in ('CALLS', 'IMPORTS', 'EXTENDS', 'IMPLEMENTS') and coalesce(confidence, 1.0) >= 0.5),
-    a as (select * from n where {_SYMBOL} and not coalesce({_TEST}, false)), s0 as (select '{HUB}' as id), {step(1)}, {step(2)}, {step(3)}
+    a as (select * from n where {_SYMBOL} and not coalesce({_TEST}, false)), s0 as ({start}), {step(1)}, {step(2)}, {step(3)}
     select x.id, depth, name, label, file_path, by_edge.rel_type as rel_type, by_edge.confidence as confidence from (select *, 1 as depth from s1 union all select *, 2 from s2 union all select *, 3 from s3) x join a on a.id = x.id"""
 
 
@@ -496,9 +533,12 @@ def grf_impact_up(spark, d):
     return V.impact(_nodes(spark, d), _edges(spark, d), HUB, min_confidence=0.5)
 
 
-@q("grf_impact_down", _impact_sql("source_id", "target_id"))
+@q("grf_impact_down", _impact_sql("source_id", "target_id", "select source_id as id from e where rel_type = 'CALLS' group by 1 order by count(*) desc, 1 limit 1"))
 def grf_impact_down(spark, d):
-    return V.impact(_nodes(spark, d), _edges(spark, d), HUB, upstream=False, min_confidence=0.5)
+    """From the symbol that calls most."""
+    edges = cut(_edges(spark, d))
+    start = edges.where("rel_type = 'CALLS'").groupBy("source_id").count().orderBy(F.desc("count"), "source_id").first()
+    return V.impact(_nodes(spark, d), edges, start["source_id"] if start else "", upstream=False, min_confidence=0.5)
 
 
 @q("grf_impact_target", f"with {_NODES_SQL} select id, file_path from n where {_SYMBOL} and name = 'emitLine' order by file_path, id limit 1")
@@ -517,51 +557,51 @@ def grf_context(spark, d):
     return V.context(_nodes(spark, d), _edges(spark, d), HUB)
 
 
-def _repo_steps(spark, d):
-    """Repos as flows: the symbols of each in id order. It stands for process_steps where an oracle in SQL is wanted."""
-    rows = _nodes(spark, d).where(G.is_symbol(F.col("label")) & F.col("file_path").isNotNull()).select(top_dir(F.col("file_path")).alias("process_id"), F.col("id").alias("symbol_id"))
-    counts = rows.groupBy("process_id").agg(F.count(F.lit(1)).alias("step_count"))
-    return rows.withColumn("step_index", F.row_number().over(Window.partitionBy("process_id").orderBy("symbol_id"))).join(counts, "process_id")
-
-
-_STEPS_SQL = f"steps as (select string_split(file_path, '/')[1] as process_id, id as symbol_id, row_number() over (partition by string_split(file_path, '/')[1] order by id) as step_index, count(*) over (partition by string_split(file_path, '/')[1]) as step_count from n where {_SYMBOL} and file_path is not null)"
+def _steps(spark, d, edges=None):
+    """The steps of the flows."""
+    edges = cut(_edges(spark, d)) if edges is None else edges
+    members = cut(G.process_members(edges))
+    return cut(G.process_steps(G.processes(edges, members), members))
 
 
-@q("grf_step_order", f"with {_NODES_SQL}, {_STEPS_SQL} select * from steps")
+@q(
+    "grf_step_order",
+    f"with recursive {_EDGES_SQL}, {_FLOWS_SQL} select flows.id as process_id, members.id as symbol_id, row_number() over (partition by flows.id order by members.id != entry_symbol_id, members.id) as step_index, step_count from members join flows using (component)",
+)
 def grf_step_order(spark, d):
-    return _repo_steps(spark, d)
+    edges = cut(_edges(spark, d))
+    members = cut(G.process_members(edges))
+    return G.process_steps(G.processes(edges, members), members, entry_first=True)
 
 
-@q("grf_process_steps")
+@q("grf_process_steps", f"with recursive {_EDGES_SQL}, {_FLOWS_SQL} select * from steps")
 def grf_process_steps(spark, d):
-    edges = cut(_edges(spark, d))
-    members = cut(G.process_members(edges))
-    return G.process_steps(G.processes(edges, members), members)
+    return _steps(spark, d)
 
 
 @q(
     "grf_detect_changes",
-    f"with {_NODES_SQL}, {_STEPS_SQL}, {_CHANGED_SQL}, x as (select id, name from n where {_SYMBOL} and exists (select 1 from c where contains(replace(n.file_path, '\\', '/'), file) or contains(file, replace(n.file_path, '\\', '/')))) select process_id, max(step_count) as step_count, count(*) as n_steps, min(step_index) as first_step from steps join x on x.id = symbol_id group by 1",
+    f"with recursive {_NODES_SQL}, {_EDGES_SQL}, {_FLOWS_SQL}, {_CHANGED_SQL}, x as (select id, name from n where {_SYMBOL} and exists (select 1 from c where contains(replace(n.file_path, '\\', '/'), file) or contains(file, replace(n.file_path, '\\', '/')))) select process_id, max(step_count) as step_count, count(*) as n_steps, min(step_index) as first_step from steps join x on x.id = symbol_id group by 1",
 )
 def grf_detect_changes(spark, d):
-    return V.affected_by_change(_nodes(spark, d), _changed(spark), _repo_steps(spark, d)).select("process_id", "step_count", "n_steps", F.col("changed_steps")[0]["step"].alias("first_step"))
+    return V.affected_by_change(_nodes(spark, d), _changed(spark), _steps(spark, d)).select("process_id", "step_count", "n_steps", F.col("changed_steps")[0]["step"].alias("first_step"))
 
 
 @q(
     "agg_process_hits",
-    f"with imp as ({_impact_sql('target_id', 'source_id')}), {_NODES_SQL}, {_STEPS_SQL} select process_id, count(distinct symbol_id) as hits, min(step_index) as broken_at_step, max(step_count) as step_count from steps join imp on imp.id = symbol_id group by 1",
+    f"with recursive imp as ({_impact_sql('target_id', 'source_id')}), {_EDGES_SQL}, {_FLOWS_SQL} select process_id, count(distinct symbol_id) as hits, min(step_index) as broken_at_step, max(step_count) as step_count from steps join imp on imp.id = symbol_id group by 1",
 )
 def agg_process_hits(spark, d):
-    return V.affected_processes(grf_impact_up(spark, d), _repo_steps(spark, d))
+    return V.affected_processes(grf_impact_up(spark, d), _steps(spark, d))
 
 
 @q(
     "agg_module_hits",
-    f"with imp as ({_impact_sql('target_id', 'source_id')}) select string_split(file_path, '/')[1] as module, count(*) as hits, case when bool_or(depth = 1) then 'direct' else 'indirect' end as impact from imp where file_path is not null group by 1",
+    f"with recursive imp as ({_impact_sql('target_id', 'source_id')}), {_NODES_SQL}, {_EDGES_SQL}, {_MODULES_SQL} select modules.id as module, count(*) as hits, case when bool_or(depth = 1) then 'direct' else 'indirect' end as impact from imp join modules using (file_path) group by 1",
 )
 def agg_module_hits(spark, d):
-    members = _nodes(spark, d).where("file_path is not null").select(top_dir(F.col("file_path")).alias("id"), "file_path").distinct()
-    return V.affected_modules(grf_impact_up(spark, d), members)
+    nodes, edges = cut(_nodes(spark, d)), cut(_edges(spark, d))
+    return V.affected_modules(V.impact(nodes, edges, HUB, min_confidence=0.5), G.communities(edges, nodes))
 
 
 _RISK_SQL = "case when direct >= 30 or total >= 200 then 'CRITICAL' when direct >= 15 or total >= 100 then 'HIGH' when direct >= 5 or total >= 30 then 'MEDIUM' else 'LOW' end"
@@ -578,6 +618,16 @@ def grf_rename_plan(spark, d):
     return V.rename_plan(_code(spark, d), _nodes(spark, d), _edges(spark, d), HUB, "writeLine")
 
 
+@q(
+    "join_member_of",
+    f"""with recursive {_NODES_SQL}, {_EDGES_SQL}, {_MODULES_SQL}, {_FLOWS_SQL} select 'MEMBER_OF:' || n.id || '->' || modules.id as id, n.id as source_id, modules.id as target_id, 'MEMBER_OF' as rel_type, 1.0 as confidence, '' as reason from n join modules using (file_path) where {_SYMBOL.replace('label', 'n.label')}
+    union all select 'STEP_IN_PROCESS:' || symbol_id || '->' || process_id, symbol_id, process_id, 'STEP_IN_PROCESS', 1.0, cast(step_index as varchar) from steps""",
+)
+def join_member_of(spark, d):
+    nodes, edges = cut(_nodes(spark, d)), cut(_edges(spark, d))
+    return G.memberships(G.communities(edges, nodes), _steps(spark, d, edges), nodes)
+
+
 # ---- search, top-k, patterns ----------------------------------------------------------------------------------------------
 
 _TOKENS = [t for t in QUERY.replace("-", " ").split() if len(t) >= 2]
@@ -592,20 +642,33 @@ def top_search_score(spark, d):
 
 @q(
     "top_search_processes",
-    f"""with {_NODES_SQL}, {_SCORED_SQL}, {_STEPS_SQL}, best as (select id, score from scored where score > 0 order by score desc, id limit 150), hits as (select s.*, score from steps s join best on best.id = s.symbol_id),
+    f"""with recursive {_NODES_SQL}, {_EDGES_SQL}, {_SCORED_SQL}, {_FLOWS_SQL}, best as (select id, score from scored where score > 0 order by score desc, id limit 150), hits as (select s.*, score from steps s join best on best.id = s.symbol_id),
     ranked as (select process_id, priority, row_number() over (order by priority desc, process_id) as process_rank from (select process_id, sum(score) as priority from hits group by 1) order by priority desc, process_id limit 5)
     select process_id, round(priority, 3) as priority, process_rank, symbol_id, symbol_rank, score, step_index from (select h.process_id, priority, process_rank, symbol_id, row_number() over (partition by h.process_id order by score desc, symbol_id) as symbol_rank, score, step_index from hits h join ranked r on r.process_id = h.process_id) where symbol_rank <= 10""",
 )
 def top_search_processes(spark, d):
-    return V.search(_nodes(spark, d), QUERY, _repo_steps(spark, d))
+    return V.search(_nodes(spark, d), QUERY, _steps(spark, d))
 
 
-@q("top_definitions", f"with {_NODES_SQL}, {_SCORED_SQL}, best as (select id, score from scored where score > 0 order by score desc, id limit 150) select id as symbol_id, score from best where id not in (select id from n where file_path is not null) order by score desc, id limit 20")
+@q("top_definitions", f"with recursive {_NODES_SQL}, {_EDGES_SQL}, {_SCORED_SQL}, {_FLOWS_SQL}, best as (select id, score from scored where score > 0 order by score desc, id limit 150) select id as symbol_id, score from best where id not in (select symbol_id from steps) order by score desc, id limit 20")
 def top_definitions(spark, d):
-    return V.definitions(_nodes(spark, d), QUERY, _repo_steps(spark, d))
+    return V.definitions(_nodes(spark, d), QUERY, _steps(spark, d))
+
+
+@q("top_symbol_fts")
+def top_symbol_fts(spark, d):
+    return V.search_index(cut(V.symbol_index(_nodes(spark, d), _code(spark, d))), "loading graphs from stores", 20)
 
 
-@q("top_fts_bm25")
+_ASKED = "['blast', 'radius', 'of', 'the', 'snippet', 'store']"
+
+
+@q(
+    "top_fts_bm25",
+    f"""with t as (select doc_id, list_filter(string_split_regex({_LOWER.format('text')}, '[^A-Za-z0-9_$/]+'), lambda x: length(x) >= 2) as terms from documents where text is not null), size as (select count(*) as n, avg(len(terms)) as avg_terms from t),
+    hits as (select term, doc_id, any_value(n_terms) as n_terms, count(*) as tf from (select doc_id, len(terms) as n_terms, unnest(list_filter(terms, lambda x: list_contains({_ASKED}, x))) as term from t) group by 1, 2), d as (select term, count(*) as df from hits group by 1)
+    select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / avg_terms))), 6) as score from hits join d using (term) cross join size group by 1 order by 2 desc, 1 limit 50""",
+)
 def top_fts_bm25(spark, d):
     return V.bm25(table(spark, d, "documents"), "doc_id", "text", "blast radius of the snippet store", 50)
 

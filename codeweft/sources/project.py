@@ -13,20 +13,28 @@ def without_comments(text: str) -> str:
     return re.sub(r",(\s*[}\]])", r"\1", out)
 
 
-def tsconfig_paths(text: str) -> tuple[str, list[tuple[str, str]]]:
-    """(base folder, [(alias prefix, target prefix)]): longest alias first, then by name; the first target of each alias."""
+def tsconfig_paths(text: str) -> tuple[str | None, list[tuple[str, str]]]:
+    """(base folder where one is named, [(alias prefix, target prefix)]): longest alias first, then by name.
+
+    Of an alias the first target counts; an alias that is `*` alone says nothing and is left out.
+    """
     options = json.loads(without_comments(text)).get("compilerOptions", {})
-    base = options.get("baseUrl", ".")
     paths = {k.removesuffix("*"): v[0].removesuffix("*") for k, v in options.get("paths", {}).items() if v}
-    return base, sorted(paths.items(), key=lambda p: (-len(p[0]), p[0]))
+    return options.get("baseUrl"), sorted(((k, v) for k, v in paths.items() if k), key=lambda p: (-len(p[0]), p[0]))
 
 
-def aliased(specifier: str, base: str, paths: list[tuple[str, str]]) -> str | None:
-    """The path that a specifier stands for by alias, else by the base folder."""
-    for alias, target in paths:
-        if specifier.startswith(alias):
-            return _normal(f"{base}/{target}{specifier[len(alias):]}")
-    return _normal(f"{base}/{specifier}")
+def tsconfig_of(texts: list[str]) -> tuple[str | None, list[tuple[str, str]]]:
+    """What several configurations say, in their order: the first with aliases, else the first that names a base folder."""
+    named = None
+    for text in texts:
+        try:
+            base, aliases = tsconfig_paths(text)
+        except ValueError:
+            continue
+        if aliases:
+            return base, aliases
+        named = base if named is None else named
+    return named, []
 
 
 def go_module(text: str) -> str | None:
@@ -56,9 +64,18 @@ def csproj_namespace(path: str, text: str) -> tuple[str, str]:
     return folder, m[1] if m else name.removesuffix(".csproj")
 
 
-def csharp_path(name: str, projects: list[tuple[str, str]]) -> list[str]:
-    """Folders that a namespace may lie in, longest root first."""
-    ordered = sorted(projects, key=lambda p: (-len(p[1]), p[1]))
+def csharp_order(projects: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(folder, root namespace) once each, longest folder first."""
+    return sorted(set(projects), key=lambda p: (-len(p[0]), p))
+
+
+def csharp_path(name: str, projects: list[tuple[str, str]], own: str = "") -> list[str]:
+    """Folders that a namespace may lie in: the project that holds the file `own` first, then those with longer folders."""
+    ordered = csharp_order(projects)
+    holds = [p for p in ordered if own and (not p[0] or own.startswith(p[0] + "/"))]
+    if holds:
+        first = max(holds, key=lambda p: (len(p[0]), p[1]))
+        ordered = [first, *(p for p in ordered if p != first)]
     return [_normal(f"{d}/{name[len(ns):].strip('.').replace('.', '/')}") for d, ns in ordered if name == ns or name.startswith(ns + ".")]
 
 

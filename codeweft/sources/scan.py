@@ -68,11 +68,38 @@ def scan_table(scanned: DataFrame, path: str = "path", size: str = "size_bytes")
     return scanned.where(~ignored_path(F.col(path))).withColumn("skipped_large", F.coalesce(F.col(size) > MAX_FILE_BYTES, F.lit(False))).withColumn("language_found", language_of(F.col(path)))
 
 
+def kept_files(spark: SparkSession, root: str) -> list[str]:
+    """Names of a tree's files, ignored folders not entered: one listing a folder, through the file system the root names."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    ignored, folders, files = frozenset(IGNORED_DIRS), [top], []
+    while folders:
+        for status in fs.listStatus(folders.pop()):
+            if not status.isDirectory():
+                files.append(status.getPath().toString())
+            elif status.getPath().getName() not in ignored and not status.isSymlink():
+                folders.append(status.getPath())
+    return sorted(files)
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size_bytes, language, content) of a folder's files: relative paths; content is null where it is no UTF-8 or too large."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    path = F.substring(F.col("path"), F.locate(base, F.col("path")) + len(base), F.length("path"))
-    rows = raw.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
-    text = F.when((F.col("size_bytes") <= MAX_FILE_BYTES), F.try_validate_utf8(F.col("raw").cast("string")))
-    return scan_table(rows).select("path", "size_bytes", F.col("language_found").alias("language"), "skipped_large", F.when(F.expr("is_valid_utf8(cast(raw as string))"), text).alias("content"))
+    """(path, size_bytes, language, skipped_large, content) of a folder's files: relative paths; content is null where it is no UTF-8 or too large.
+
+    Names come first and are filtered; only files that are kept, and are not too large, are read.
+    """
+    root = root.rstrip("/") or "/"
+    names = kept_files(spark, root)
+    home = names[0][: names[0].index(root)] + root + "/" if names else root
+    rows = spark.createDataFrame([(n, n[len(home) :]) for n in names], "file string, path string")
+    kept = [r["file"] for r in rows.where(~ignored_path(F.col("path"))).select("file").collect()]
+    if not kept:
+        return spark.createDataFrame([], "path string, size_bytes bigint, language string, skipped_large boolean, content string")
+    # names are taken as they are, not as patterns
+    raw = spark.read.format("binaryFile").option("__globPaths__", "false").load(kept)
+    path = F.substring(F.col("path"), len(home) + 1, F.length("path"))
+    found = raw.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
+    small = found.where(F.col("size_bytes") <= MAX_FILE_BYTES)
+    text = F.when(F.expr("is_valid_utf8(cast(raw as string))"), F.col("raw").cast("string"))
+    large = found.where(F.col("size_bytes") > MAX_FILE_BYTES).select("path", "size_bytes", F.lit(None).cast("string").alias("content"))
+    return scan_table(small.select("path", "size_bytes", text.alias("content")).unionByName(large)).select("path", "size_bytes", F.col("language_found").alias("language"), "skipped_large", "content")

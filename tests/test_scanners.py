@@ -147,7 +147,12 @@ def test_paths_and_tokens(spark):
 
 def test_project_files():
     base, paths = project.tsconfig_paths('{ // c\n "compilerOptions": {"baseUrl": ".", "paths": {"@core/*": ["src/lib/*"], "@core/x/*": ["x/*"],}} }')
-    assert project.aliased("@core/math", base, paths) == "src/lib/math" and project.aliased("@core/x/y", base, paths) == "x/y" and project.aliased("src/utils", base, paths) == "src/utils"
+    assert base == "." and paths == [("@core/x/", "x/"), ("@core/", "src/lib/")]
+    assert project.tsconfig_paths('{"compilerOptions": {"paths": {"*": ["x/*"]}}}') == (None, [])
+    assert project.tsconfig_of(["{", '{"compilerOptions": {"baseUrl": "a"}}', '{"compilerOptions": {"baseUrl": "b"}}']) == ("a", [])
+    assert project.tsconfig_of(['{"compilerOptions": {"baseUrl": "a"}}', '{"compilerOptions": {"paths": {"@/*": ["s/*"]}}}']) == (None, [("@/", "s/")])
+    two = [("", "Acme"), ("lib", "Acme"), ("app/x", "Acme")]
+    assert project.csharp_path("Acme.Y", two, "lib/a.cs") == ["lib/Y", "app/x/Y", "Y"] and project.csharp_path("Acme.Y", two) == ["app/x/Y", "lib/Y", "Y"]
     assert project.go_path("github.com/acme/demo/pkg/math", project.go_module("// x\nmodule github.com/acme/demo\n")) == "pkg/math"
     assert project.psr4_path("App\\Services\\Greeter", project.psr4_prefixes(json.dumps({"autoload": {"psr-4": {"App\\": "src/", "": "all/"}}}))) == ["src/Services/Greeter"]
     assert project.csharp_path("MyCompany.Product.Services", [project.csproj_namespace("app/App.csproj", "<RootNamespace>MyCompany.Product</RootNamespace>")]) == ["app/Services"]
