@@ -16,29 +16,38 @@ from ..session import cut
 MAX_ROUNDS = 60
 #: A vertex with more than this part of the edges is heavy; there are fewer than twice its reciprocal of such vertices.
 HEAVY_PART, LEAST_HEAVY = 1 / 1000, 1000
+#: Vertices that a task holds while it contracts its edges.
+FOREST = 500_000
 #: Edges up to which a root's search is one task's work.
 SEARCH_EDGES = 200_000
 
 
 def _forest(edges: DataFrame) -> DataFrame:
-    """(u, v), u > v: each batch's edges with all of each of its components hung on the component's smallest vertex."""
+    """(u, v), u > v: a task's edges, FOREST vertices at a time, with each of their components hung on its smallest vertex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            over: dict[str, str] = {}
+        over: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while (y := over.get(x, x)) != x:
+                over[x] = over.get(y, y)
+                x = over[x]
+            return x
 
-            def root(x: str, over=over) -> str:
-                while (y := over.get(x, x)) != x:
-                    over[x] = over.get(y, y)
-                    x = over[x]
-                return x
+        def flush() -> pa.RecordBatch:
+            ids = list(over)
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([root(x) for x in ids], pa.string())], names=["u", "v"])
+            over.clear()
+            return out
 
+        for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x, y = root(x), root(y)
                 if x != y:
                     over[max(x, y)] = min(x, y)
-            ids = list(over)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([root(x) for x in ids], pa.string())], names=["u", "v"])
+            if len(over) > FOREST:
+                yield flush()
+        yield flush()
 
     return edges.select("u", "v").mapInArrow(run, "u string, v string")
 
@@ -54,7 +63,7 @@ def _with_least(rows: DataFrame, least: DataFrame, part: float) -> DataFrame:
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, component): component is the smallest id. edges: src, dst, direction aside; vertices: id, may stand alone.
 
-    Batches of edges are first contracted where they lie, so that what is shuffled is about the vertices. Then large-star and
+    Edges are first contracted where they lie, so that what is shuffled is about the vertices. Then large-star and
     small-star rounds (Kiveris et al. 2014) until no edge changes, each cut by a reliable checkpoint. Neighbour minima are
     aggregated on the map side; the few heavy vertices (hubs, and in late rounds the roots) get theirs by broadcast, so no task
     has all the edges of one.

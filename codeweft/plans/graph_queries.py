@@ -339,6 +339,14 @@ def join_import_relative(spark, d):
     return I.resolve_imports(spec, code.select("repo", "path").distinct())
 
 
+@q("join_import_configured")
+def join_import_configured(spark, d):
+    """Resolution with a project's own configuration: aliases, base folder, module, namespaces."""
+    config = I.ProjectConfig(base="src", aliases=(("@/", "src/"), ("~/", "lib/")), go_module="example.com/app", psr4=(("App\\", "src/"),), csharp=(("src", "Acme.App"), ("", "Acme")))
+    code = _code(spark, d)
+    return I.resolve_imports(I.import_specifiers(code, "repo"), cut(code.select("repo", "path").distinct()), config)
+
+
 @q(
     "join_import_dir",
     f"""with {_CODE_SQL}, p as (select repo, path, string_split(path, '/') as parts, case when ends_with(path, '.go') then 'go' when ends_with(path, '.php') then 'php' when ends_with(path, '.cs') then 'csharp' end as language from code),
@@ -506,10 +514,10 @@ def top_module_edges(spark, d):
     return report.top_module_edges(agg_module_edges(spark, d))
 
 
-@q("agg_fallback_communities", f"with {_NODES_SQL} select string_split(file_path, '/')[1] as module, count(distinct file_path) as file_count from n where label = 'File' and file_path is not null group by 1")
+@q("agg_fallback_communities", f"with {_NODES_SQL}, f as (select distinct string_split(file_path, '/')[1] as top, file_path from n where label = 'File' and file_path is not null) select 'community_' || dense_rank() over (order by top) as id, file_path from f")
 def agg_fallback_communities(spark, d):
-    rows = _nodes(spark, d).where("label = 'File' and file_path is not null")
-    return rows.groupBy(top_dir(F.col("file_path")).alias("module")).agg(F.count_distinct("file_path").alias("file_count"))
+    """Communities of a graph without any link between files."""
+    return G.communities(_edges(spark, d).where("false"), _nodes(spark, d).where("file_path is not null"))
 
 
 @q(
@@ -620,8 +628,8 @@ def grf_rename_plan(spark, d):
 
 @q(
     "join_member_of",
-    f"""with recursive {_NODES_SQL}, {_EDGES_SQL}, {_MODULES_SQL}, {_FLOWS_SQL} select 'MEMBER_OF:' || n.id || '->' || modules.id as id, n.id as source_id, modules.id as target_id, 'MEMBER_OF' as rel_type, 1.0 as confidence, '' as reason from n join modules using (file_path) where {_SYMBOL.replace('label', 'n.label')}
-    union all select 'STEP_IN_PROCESS:' || symbol_id || '->' || process_id, symbol_id, process_id, 'STEP_IN_PROCESS', 1.0, cast(step_index as varchar) from steps""",
+    f"""with recursive {_NODES_SQL}, {_EDGES_SQL}, {_MODULES_SQL}, {_FLOWS_SQL} select 'MEMBER_OF:' || n.id || '->' || modules.id as id, n.id as source_id, modules.id as target_id, 'MEMBER_OF' as rel_type, cast(1 as double) as confidence, '' as reason from n join modules using (file_path) where {_SYMBOL.replace('label', 'n.label')}
+    union all select 'STEP_IN_PROCESS:' || symbol_id || '->' || process_id, symbol_id, process_id, 'STEP_IN_PROCESS', cast(1 as double), cast(step_index as varchar) from steps""",
 )
 def join_member_of(spark, d):
     nodes, edges = cut(_nodes(spark, d)), cut(_edges(spark, d))
