@@ -26,7 +26,7 @@ from .pii import LABELS, NEARLY_SHUT, SLOPE, SYMBOLS, WEIGHTS, Finder, Model, sy
 
 #: Bound of the labelled sample.
 DOCUMENTS = 20_000
-EMBED, HIDDEN, RATE = 20, 28, 4e-3
+EMBED, HIDDEN, RATE = 20, 24, 4e-3
 #: Characters of a window in training and between the starts of two.
 WINDOW, STRIDE = 96, 56
 _SIGNED = re.compile(r"(?:Signed-off-by|Reviewed-by): (\w[\w'-]+) ")
@@ -367,7 +367,22 @@ def given_names(texts: list[str]) -> set[str]:
 
 def _kept() -> dict[str, np.ndarray]:
     with np.load(WEIGHTS) as f:
-        return {k: v.astype(np.float32) for k, v in f.items()}
+        w = {k: v.astype(np.float32) for k, v in f.items()}
+    return pruned(w, HIDDEN) if w["rec_f"].shape[0] > HIDDEN else w
+
+
+def pruned(w: dict[str, np.ndarray], hidden: int) -> dict[str, np.ndarray]:
+    """The weights with the units left that what follows them listens to most; to be trained on."""
+    h = w["rec_f"].shape[0]
+    out, parts = dict(w), {}
+    for d, rows in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+        weight = np.linalg.norm(w["out"][rows], axis=1) + np.linalg.norm(w[f"rec_{d}"], axis=1)
+        keep = np.sort(np.argsort(-weight)[:hidden])
+        gates = np.concatenate([keep + k * h for k in range(4)])
+        out[f"rec_{d}"], out[f"in_{d}"], out[f"bias_{d}"] = w[f"rec_{d}"][np.ix_(keep, gates)], w[f"in_{d}"][:, gates], w[f"bias_{d}"][gates]
+        parts[d] = w["out"][rows][keep]
+    out["out"] = np.concatenate([parts["f"], parts["b"]])
+    return out
 
 
 def _wrong(model: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
